@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, reshard, topk, warc
+from . import bpe, decontaminate, lines, neardup, reshard, secrets, topk, warc
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_bpe": bpe.query,
+    "op4_secrets": secrets.query,
     "op5_reshard": reshard.query,
     "op6_topk": topk.query,
     "op7_decontaminate": decontaminate.query,
+    "op9_neardup": neardup.query,
+    "op10_lines": lines.query,
 }
