@@ -93,7 +93,7 @@ def _neighbours(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = 0
                 while same < DEPTH and key[: 3 + 2 * same] == other[: 3 + 2 * same]:
                     same += 1
-                if key[0] == other[0] and same - 1 >= LEAST_DEPTH + (back > 0) * 2:
+                if key[0] == other[0] and same >= LEAST_DEPTH + (back > 0) * 2:
                     a.append(min(x, node))
                     b.append(max(x, node))
             before = [*before[-(NEAR - 1) :], (key, node)]
@@ -112,12 +112,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names=["key", "node"])
 
 
-@F.pandas_udf("double")
 def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([float((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).mean()) for p, q in zip(x, y)])
 
 
-@F.pandas_udf("boolean")
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
     def one(p: bytes, q: bytes) -> bool:
         s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -159,12 +157,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = sigs.mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = rows.mapInArrow(_neighbours, "a long, b long").distinct()
     x, y = sigs.withColumnsRenamed({"node": "a", "sig": "x"}), sigs.withColumnsRenamed({"node": "b", "sig": "y"})
-    pairs = materialize(pairs.join(x, "a").join(y, "b").withColumn("alike", _alike("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike"), "pairs")
+    pairs = materialize(pairs.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike"), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
 
     def confirmed(some: DataFrame) -> DataFrame:
         p, q = own.select(F.col("node").alias("a"), F.col("raw").alias("p")), own.select(F.col("node").alias("b"), F.col("raw").alias("q"))
-        return some.join(p, "a").join(q, "b").where(_linked("p", "q")).select("a", "b")
+        return some.join(p, "a").join(q, "b").where(F.pandas_udf(_linked, "boolean")("p", "q")).select("a", "b")
 
     links = materialize(confirmed(best), "links")
     roots = components(links)
