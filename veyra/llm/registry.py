@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, neardup, reshard, secrets, topk, warc
+from . import bpe, decontaminate, lines, neardup, reshard, secrets, topk, toxicity, warc
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_bpe": bpe.query,
+    "op3_toxicity": toxicity.query,
     "op4_secrets": secrets.query,
     "op5_reshard": reshard.query,
     "op6_topk": topk.query,
