@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, neardup, reshard, secrets, topk, toxicity, warc
+from . import bpe, decontaminate, lines, neardup, reshard, secrets, suffix, topk, toxicity, warc
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_reshard": reshard.query,
     "op6_topk": topk.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_suffix": suffix.query,
     "op9_neardup": neardup.query,
     "op10_lines": lines.query,
 }
