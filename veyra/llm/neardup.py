@@ -77,9 +77,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = shingles(text)
                 with np.errstate(over="ignore"):
                     key = [int(_mix(s).sum().view(np.int64)), int(_mix(s + M).sum().view(np.int64))] if len(s) else [0, 0]
-                out.append((len(s), *key, signature(s).tobytes() if len(s) else None, s.tobytes() if len(s) else None))
-            n, k1, k2, sig, raw = zip(*out)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig", "raw"])
+                out.append((len(s), *key, signature(s).tobytes() if len(s) else None))
+            n, k1, k2, sig = zip(*out)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
 
 
 def _neighbours(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,8 @@ def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
-    def one(p: bytes, q: bytes) -> bool:
-        s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    def one(p: str, q: str) -> bool:
+        s, t = shingles(p), shingles(q)
         both = len(np.intersect1d(s, t, assume_unique=True))
         return 100 * both >= SHARE * (len(s) + len(t) - both)
 
@@ -147,21 +147,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    sketched = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary, raw binary"), "sketches")
+    sketched = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary"), "sketches")
     sets = sketched.where("n > 0 and doc_id is not null")
     nodes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     member = materialize(sets.select("doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("doc_id", "node"), "members")
     heads = sketched.join(member.where("doc_id = node").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
-    own = materialize(heads.select(F.col("doc_id").alias("node"), "sig", "raw"), "sets")
-    sigs = own.select("node", "sig")
+    sigs = materialize(heads.select(F.col("doc_id").alias("node"), "sig"), "signatures")
     rows = sigs.mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = rows.mapInArrow(_neighbours, "a long, b long").distinct()
     x, y = sigs.withColumnsRenamed({"node": "a", "sig": "x"}), sigs.withColumnsRenamed({"node": "b", "sig": "y"})
     pairs = materialize(pairs.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike"), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    texts = materialize(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        p, q = own.select(F.col("node").alias("a"), F.col("raw").alias("p")), own.select(F.col("node").alias("b"), F.col("raw").alias("q"))
+        p, q = texts.select(F.col("node").alias("a"), F.col("text").alias("p")), texts.select(F.col("node").alias("b"), F.col("text").alias("q"))
         return some.join(p, "a").join(q, "b").where(F.pandas_udf(_linked, "boolean")("p", "q")).select("a", "b")
 
     links = materialize(confirmed(best), "links")
