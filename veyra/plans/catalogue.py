@@ -1,4 +1,262 @@
 """Every query of the survey operators by name, with the SQL it is compared with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veyra.operators import selection as S
+from veyra.operators import survey as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+CUTS, LABELS = (35000.0, 70000.0), ("Low", "Medium", "High")
+PVS = range(1, 11)
+
+
+def _add(name: str, sql: str):
+    def keep(f):
+        QUERIES[name] = f
+        ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to digits places and whole numbers as long, for comparison by value."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns])
+
+
+def pv(i: int):
+    return F.col("l_extendedprice") * (1 + 0.02 * (((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + i * 31) % 11) - 5))
+
+
+PV_SQL = "l_extendedprice*(1+0.02*(((l_orderkey*7+l_linenumber*13+{i}*31)%11)-5))"
+CASE = "case when {x} is null then null when {x} < 35000 then 'Low' when {x} < 70000 then 'Medium' else 'High' end"
+
+def replicates() -> list:
+    return [F.col("l_quantity") * F.when(((F.col("l_suppkey") * r) % 83) % 2 == 0, 1.5).otherwise(0.5) for r in range(1, 81)]
+
+
+BRR_SQL = """with x as (select {by} as g, {value} as v, l_quantity as w, l_suppkey from lineitem), r as (select unnest(range(0, 81)) as r),
+t as (select g, r, sum(v*w*f)/sum(case when v is not null then w*f end) as t from (select *, case when r = 0 then 1.0 when ((l_suppkey*r)%83)%2 = 0 then 1.5 else 0.5 end as f from x, r) group by g, r),
+f as (select g, max(case when r = 0 then t end) as e from t group by g), s as (select t.g, e, sqrt(sum((t-e)*(t-e))/(count(*)*0.25)) as se, count(*) as n from t join f on t.g = f.g where r > 0 group by t.g, e)
+select g as {name}, round(e,6) as estimate, round(se,6) as brr_se, round(e-1.96*se,6) as ci_low, round(e+1.96*se,6) as ci_high, n as n_replicates_used from s"""
+
+
+@_add("brr_proportions", BRR_SQL.replace("{by}", "c.column0").replace("select c.column0 as g, {value} as v, l_quantity as w, l_suppkey from lineitem", "select c.g, case when k = c.g then 1.0 else 0.0 end as v, l_quantity as w, l_suppkey from (select *, " + CASE.format(x=PV_SQL.format(i=1)) + " as k from lineitem), (values ('Low'),('Medium'),('High')) c(g)").format(name="category"))
+def brr_proportions(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("k", V.categorize(pv(1), CUTS, LABELS)).withColumn("category", F.explode(F.array(*map(F.lit, LABELS))))
+    return rounded(V.brr(rows, ["category"], (F.col("k") == F.col("category")).cast("double"), F.col("l_quantity"), replicates()))
+
+
+@_add("brr_means", BRR_SQL.format(by="l_returnflag", value="case when l_partkey%11 = 0 then null else l_discount end", name="l_returnflag"))
+def brr_means(spark, d):
+    return rounded(V.brr(read(spark, d, "lineitem"), ["l_returnflag"], F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")), F.col("l_quantity"), replicates()))
+
+
+@_add("weighted_moments", "with x as (select *, case when l_partkey%11 = 0 then null else l_discount end as v from lineitem), m as (select l_returnflag, l_linestatus, sum(v*l_quantity)/sum(case when v is not null then l_quantity end) as m from x group by all) select x.l_returnflag, x.l_linestatus, round(m,6) as wmean, round(sum(power(v-m,2)*l_quantity)/sum(case when v is not null then l_quantity end),6) as wvar, round(sqrt(sum(power(v-m,2)*l_quantity)/sum(case when v is not null then l_quantity end)),6) as wstd from x join m on x.l_returnflag = m.l_returnflag and x.l_linestatus = m.l_linestatus group by x.l_returnflag, x.l_linestatus, m")
+def weighted_moments(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("v", F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")))
+    return rounded(V.weighted_moments(rows, ["l_returnflag", "l_linestatus"], "v", "l_quantity"))
+
+
+@_add("pv_category_counts", " union all ".join(f"select {i} as pv, {CASE.format(x=PV_SQL.format(i=i))} as category, count(*) as n from lineitem group by 2" for i in PVS))
+def pv_category_counts(spark, d):
+    rows = read(spark, d, "lineitem").select(F.posexplode(F.array(*[V.categorize(pv(i), CUTS, LABELS) for i in PVS])).alias("pv", "category"))
+    return rounded(rows.groupBy((F.col("pv") + 1).alias("pv"), "category").agg(F.count("*").alias("n")))
+
+
+@_add("task_labels", "select label, count(*) as n from (select case k when 'Low' then 0 when 'High' then 1 end as label from (select " + CASE.format(x="l_extendedprice") + " as k from lineitem)) group by 1")
+def task_labels(spark, d):
+    k = V.categorize(F.col("l_extendedprice"), CUTS, LABELS)
+    return rounded(read(spark, d, "lineitem").select(V.task_label(k, "Low", "High").alias("label")).groupBy("label").agg(F.count("*").alias("n")))
+
+
+@_add("category_instability", "with c as (select l_quantity as w, [" + ",".join(CASE.format(x=PV_SQL.format(i=i)) for i in PVS) + "] as c from lineitem), s as (select w, case when len(list_distinct(c)) > 1 then 1.0 else 0.0 end as u, greatest(len(list_filter(c, lambda x: x = 'Low')), len(list_filter(c, lambda x: x = 'Medium')), len(list_filter(c, lambda x: x = 'High')))/10.0 as m from c) select round(sum(u*w)/sum(w),6) as unstable, round(sum(m*w)/sum(w),6) as modal_share, round(sum((1-u)*w)/sum(w),6) as stable from s")
+def category_instability(spark, d):
+    rows = read(spark, d, "lineitem").select("l_quantity", *[V.categorize(pv(i), CUTS, LABELS).alias(f"c{i}") for i in PVS])
+    return rounded(V.instability(rows, [f"c{i}" for i in PVS], LABELS, F.col("l_quantity")))
+
+
+@_add("rubin_by_flag", "with e as (" + " union all ".join(f"select l_returnflag, {i} as pv, avg({PV_SQL.format(i=i)}) as e, var_samp({PV_SQL.format(i=i)})/count(*) as v from lineitem group by 1" for i in PVS) + "), s as (select l_returnflag, avg(e) as q, avg(v) as u, var_samp(e) as b, count(*) as m from e group by 1) select l_returnflag, round(q,4) as q_bar, round(u,4) as within, round(b,4) as between, m, round(u+(1+1.0/m)*b,4) as total_var, round(sqrt(u+(1+1.0/m)*b),4) as se, round((1+1.0/m)*b/u,4) as riv, round((1+1.0/m)*b/(u+(1+1.0/m)*b),4) as fmi from s")
+def rubin_by_flag(spark, d):
+    aggs = [x for i in PVS for x in (F.avg(pv(i)).alias(f"e{i}"), (F.var_samp(pv(i)) / F.count("*")).alias(f"v{i}"))]
+    wide = read(spark, d, "lineitem").groupBy("l_returnflag").agg(*aggs)
+    long = wide.select("l_returnflag", F.explode(F.array(*[F.struct(F.col(f"e{i}").alias("e"), F.col(f"v{i}").alias("v")) for i in PVS])).alias("x")).select("l_returnflag", "x.*")
+    return rounded(V.rubin(long, ["l_returnflag"], "e", "v"), 4).drop("df")
+
+
+@_add("sample_flow", " union all ".join(f"select {t} as threshold, count(*) as n, count(distinct o_custkey) as n_psu from orders where o_orderkey%7 <= {t}" for t in (2, 4, 6)))
+def sample_flow(spark, d):
+    return rounded(V.sample_flow(read(spark, d, "orders").withColumn("missing", F.col("o_orderkey") % 7), "missing", "o_custkey", (2, 4, 6)))
+
+
+@_add("design_diagnostics", "with p as (select l_suppkey, count(*) as c from lineitem group by 1) select count(*) as n, (select count(*) from p) as n_psu, (select round(avg(c),6) from p) as mean_per_psu, (select min(c) from p) as min_per_psu, (select max(c) from p) as max_per_psu, round(sum(l_quantity),6) as sum_w, min(l_quantity) as min_w, max(l_quantity) as max_w, round(sum(l_quantity)*sum(l_quantity)/sum(l_quantity*l_quantity),6) as kish_n, round(count(*)/(sum(l_quantity)*sum(l_quantity)/sum(l_quantity*l_quantity)),6) as deff, count(distinct l_returnflag) as n_strata from lineitem")
+def design_diagnostics(spark, d):
+    return rounded(V.design_diagnostics(read(spark, d, "lineitem"), "l_suppkey", "l_quantity", "l_returnflag"))
+
+
+@_add("normalised_weights", "with w as (select l_returnflag, l_quantity*(select count(*) from lineitem)/(select sum(l_quantity) from lineitem) as v from lineitem) select l_returnflag, round(sum(v),4) as total from w group by 1")
+def normalised_weights(spark, d):
+    return rounded(V.normalised_weights(read(spark, d, "lineitem"), "l_quantity").groupBy("l_returnflag").agg(F.sum("w_norm").alias("total")), 4)
+
+
+AUC_SQL = """with s as (select {by} as g, {score} as s, sum(case when {y} = 1 then {w} else 0 end) as p, sum(case when {y} = 0 then {w} else 0 end) as n from {table} group by 1, 2),
+c as (select *, sum(n) over (partition by g order by s rows unbounded preceding) as b from s) select g as {name}, round(sum(p*(b-n/2.0))/(sum(p)*sum(n)),6) as auc from c group by 1"""
+URGENT = "case when o_orderpriority in ('1-URGENT','2-HIGH') then 1 else 0 end"
+
+
+def orders(spark, d):
+    return read(spark, d, "orders").withColumn("y", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int"))
+
+
+@_add("auc_by_status", AUC_SQL.format(by="o_orderstatus", score="o_totalprice", y=URGENT, w="1.0", table="orders", name="o_orderstatus"))
+def auc_by_status(spark, d):
+    return rounded(V.auc(orders(spark, d), ["o_orderstatus"], "y", "o_totalprice"))
+
+
+@_add("weighted_auc", AUC_SQL.format(by="o_orderstatus", score="o_totalprice", y=URGENT, w="(1.0+o_orderkey%5)", table="orders", name="o_orderstatus"))
+def weighted_auc(spark, d):
+    return rounded(V.auc(orders(spark, d), ["o_orderstatus"], "y", "o_totalprice", 1.0 + F.col("o_orderkey") % 5))
+
+
+@_add("average_precision", f"with s as (select o_orderstatus as g, o_totalprice as s, sum({URGENT}) as p, sum(1-{URGENT}) as n from orders group by 1, 2), c as (select *, sum(p) over w as cp, sum(n) over w as cn from s window w as (partition by g order by s desc rows unbounded preceding)) select g as o_orderstatus, round(sum(p*cp/(cp+cn))/sum(p),6) as ap from c group by 1")
+def average_precision(spark, d):
+    return rounded(V.average_precision(orders(spark, d), ["o_orderstatus"], "y", "o_totalprice"))
+
+
+@_add("classification_metrics", f"with c as (select o_orderstatus, sum(case when y=1 and h then w else 0 end) as tp, sum(case when y=1 and not h then w else 0 end) as fn, sum(case when y=0 and h then w else 0 end) as fp, sum(case when y=0 and not h then w else 0 end) as tn, count(*) as n from (select o_orderstatus, {URGENT} as y, o_totalprice/500000 >= 0.5 as h, 1.0+o_orderkey%5 as w from orders) group by 1) select *, round((tp+tn)/(tp+fn+fp+tn),6) as accuracy, round(coalesce(tp/nullif(tp+fn,0),0),6) as recall, round(coalesce(tp/nullif(tp+fp,0),0),6) as precision, round(coalesce(tn/nullif(tn+fp,0),0),6) as specificity, round(coalesce(fn/nullif(tp+fn,0),0),6) as fnr, round(coalesce(fp/nullif(tn+fp,0),0),6) as fpr, round((tp+fn)/(tp+fn+fp+tn),6) as prevalence, round(coalesce(2*tp/nullif(2*tp+fp+fn,0),0),6) as f1, round((coalesce(tp/nullif(tp+fn,0),0)+coalesce(tn/nullif(tn+fp,0),0))/2,6) as balanced_accuracy from (select o_orderstatus, tp::double as tp, fn::double as fn, fp::double as fp, tn::double as tn, n from c)")
+def classification_metrics(spark, d):
+    return rounded(V.confusion_metrics(orders(spark, d), ["o_orderstatus"], "y", F.col("o_totalprice") / 500000, 0.5, 1.0 + F.col("o_orderkey") % 5))
+
+
+GRID = [x / 20 for x in range(1, 20)]
+
+
+@_add("select_threshold", f"with t as (select g.t, coalesce(avg(case when y=1 then case when s >= t then 1.0 else 0 end end),0) as r, coalesce(avg(case when y=0 then case when s < t then 1.0 else 0 end end),0) as q from (select {URGENT} as y, o_totalprice/500000 as s from orders), (values {','.join(f'({x}::double)' for x in GRID)}) g(t) group by 1) select t as threshold, round((r+q)/2,6) as value from t order by round((r+q)/2,12) desc, t limit 1")
+def select_threshold(spark, d):
+    return rounded(V.select_threshold(orders(spark, d), "y", F.col("o_totalprice") / 500000, GRID))
+
+
+FEATURES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+LONG_SQL = "select feature, value, y from (" + " union all ".join(f"select '{f}' as feature, {f}::double as value, case when l_returnflag = 'R' then 1 else 0 end as y from lineitem" for f in FEATURES) + ")"
+
+
+def long(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return S.unpivot(rows, ["y"], FEATURES)
+
+
+@_add("screen_auc", f"with x as ({LONG_SQL}), s as (select feature, value, sum(y) as p, sum(1-y) as n from x group by 1, 2), c as (select *, sum(n) over (partition by feature order by value rows unbounded preceding) as b from s) select feature, round(sum(p*(b-n/2.0))/(sum(p)*sum(n)),6) as auc_signed, round(greatest(sum(p*(b-n/2.0))/(sum(p)*sum(n)), 1-sum(p*(b-n/2.0))/(sum(p)*sum(n))),6) as auc, greatest(sum(p*(b-n/2.0))/(sum(p)*sum(n)), 1-sum(p*(b-n/2.0))/(sum(p)*sum(n))) > 0.95 as flagged from c group by 1")
+def screen_auc(spark, d):
+    got = V.auc(long(spark, d), ["feature"], "y", "value").withColumnRenamed("auc", "auc_signed")
+    return rounded(got.withColumn("auc", F.greatest("auc_signed", 1 - F.col("auc_signed"))).withColumn("flagged", F.col("auc") > 0.95))
+
+
+BIN_SQL = f"with x as ({LONG_SQL}), q as (select feature, list_distinct(quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) as cuts, list_sort(list_distinct(list(value))) as vals from x group by 1), m as (select feature, case when len(vals) <= 10 then vals else cuts end as marks, case when len(vals) <= 10 then 1 else 0 end as dense from q), b as (select x.feature, y, len(list_filter(marks, lambda c: c <= value)) - dense as bin from x join m on x.feature = m.feature)"
+
+
+@_add("decile_bins", BIN_SQL + " select feature, bin, count(*) as n from b group by 1, 2")
+def decile_bins(spark, d):
+    return rounded(S.decile_bins(long(spark, d)).groupBy("feature", "bin").agg(F.count("*").alias("n")))
+
+
+@_add("entropy", BIN_SQL + ", n as (select feature, bin, count(*) as c from b group by 1, 2), t as (select *, sum(c) over (partition by feature) as t from n) select feature, round(sum(-c/t*ln(c/t)),6) as entropy from t group by 1")
+def entropy(spark, d):
+    return rounded(S.entropy(S.decile_bins(long(spark, d)), ["feature"], "bin"))
+
+
+@_add("symmetric_uncertainty", BIN_SQL + ", n as (select feature, bin, y, count(*)::double as c from b group by 1, 2, 3), t as (select *, sum(c) over (partition by feature) as t, sum(c) over (partition by feature, bin) as xx, sum(c) over (partition by feature, y) as yy from n), s as (select feature, sum(c/t*ln(c*t/(xx*yy))) as mi, sum(-c/t*ln(xx/t)) as hx, sum(-c/t*ln(yy/t)) as hy from t group by 1) select feature, round(greatest(mi,0),8) as mi, round(2*mi/(hx+hy),8) as su from s")
+def symmetric_uncertainty(spark, d):
+    return rounded(S.symmetric_uncertainty(S.decile_bins(long(spark, d)), "y"), 8)
+
+
+CHI_SQL = f"with x as ({LONG_SQL}), s as (select feature, y, sum(value) as o, count(*) as k from x group by 1, 2), e as (select *, sum(o) over (partition by feature)*k/sum(k) over (partition by feature) as e from s), c as (select feature, sum((o-e)*(o-e)/e) as chi2 from e group by 1)"
+
+
+@_add("chi2_scores", CHI_SQL + " select feature, round(chi2,6) as chi2 from c")
+def chi2_scores(spark, d):
+    return rounded(S.chi2(long(spark, d), "y"))
+
+
+@_add("chi2_top_k", CHI_SQL + " select feature, round(chi2,6) as chi2, row_number() over (order by chi2 desc, feature) as rank from c order by chi2 desc, feature limit 2")
+def chi2_top_k(spark, d):
+    return rounded(S.top_k(S.chi2(long(spark, d), "y"), "chi2", 2))
+
+
+@_add("group_differences", f"with x as ({LONG_SQL}), s as (select feature, avg(value) filter (y=1) - avg(value) filter (y=0) as m, sqrt(((count(*) filter (y=1)-1)*var_samp(value) filter (y=1)+(count(*) filter (y=0)-1)*var_samp(value) filter (y=0))/(count(*)-2)) as sd, count(*) as n from x group by 1) select feature, round(m/sd,6) as d, round(m/sd*(1-3/(4.0*(n-2)-1)),6) as hedges_g, case when abs(m/sd) < 0.2 then 'negligible' when abs(m/sd) < 0.5 then 'small' when abs(m/sd) < 0.8 then 'medium' else 'large' end as band from s")
+def group_differences(spark, d):
+    return rounded(S.cohens_d(long(spark, d), ["feature"], "value", "y"))
+
+
+FOLDS_SQL = "f as (select event_type, user_id, avg(value) as v from events group by 1, 2), d as (select a.event_type, a.v-b.v as d from f a join f b on a.user_id = b.user_id and b.event_type = 'purchase' and a.event_type <> 'purchase'), s as (select event_type, count(*) as n, avg(d) as m, var_samp(d) as v from d group by 1)"
+
+
+def folds(spark, d):
+    return read(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
+
+
+@_add("paired_contrasts", f"with {FOLDS_SQL} select event_type, n, round(m,6) as mean_diff, round(m/sqrt(v),6) as d_paired, round(m/sqrt((1.0/n+0.25)*v),6) as t_corrected, round(m/sqrt(v/n),6) as t_plain from s")
+def paired_contrasts(spark, d):
+    return rounded(S.paired_contrasts(folds(spark, d), ["user_id"], "event_type", "v", "purchase", 0.25))
+
+
+@_add("holm_and_bh", "with p as (select p_brand, p_type, (p_partkey%97)/100.0::double as p, p_partkey from part), r as (select *, count(*) over (partition by p_brand) as m, row_number() over (partition by p_brand order by p, p_partkey) as i from p) select p_partkey, round(least(1, max((m-i+1)*p) over (partition by p_brand order by p, p_partkey rows unbounded preceding)),6)::double as holm, round(least(1, min(m/i*p) over (partition by p_brand order by p, p_partkey rows between current row and unbounded following)),6)::double as bh from r")
+def holm_and_bh(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", "p_brand", ((F.col("p_partkey") % 97) / 100.0).alias("p"))
+    return rounded(S.adjust(rows, ["p_brand"], "p", "p_partkey").select("p_partkey", "holm", "bh"))
+
+
+SETS_SQL = "u as (select user_id%5 as task, user_id, list(distinct event_type) as names from events where value > 50 and user_id < 60 group by 1, 2)"
+
+
+def subsets(spark, d):
+    rows = read(spark, d, "events").where("value > 50 and user_id < 60")
+    return rows.groupBy((F.col("user_id") % 5).alias("task"), "user_id").agg(F.collect_set("event_type").alias("names"))
+
+
+@_add("pairwise_stability", f"with {SETS_SQL}, p as (select a.task, len(list_intersect(a.names, b.names))::double as i, len(a.names)::double as k, len(b.names)::double as l from u a join u b on a.task = b.task and a.user_id < b.user_id) select task, count(*) as n_pairs, round(avg(i/(k+l-i)),6) as jaccard, round(avg(case when k = l and k > 0 and k < 5 then (i*5-k*k)/(k*(5-k)) end),6) as kuncheva from p group by 1")
+def pairwise_stability(spark, d):
+    return rounded(S.pairwise_stability(subsets(spark, d), "task", "user_id", "names", 5))
+
+
+@_add("selection_frequency", f"with {SETS_SQL}, n as (select count(*)::double as n from u), c as (select feature, count(*)::double as c from (select unnest(names) as feature from u) group by 1), z as (select feature, c/n as p, n, 1.959963984540054 as z from c, n) select feature, round(p,6) as p, round((p+z*z/(2*n)-z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n),6) as low, round((p+z*z/(2*n)+z*sqrt(p*(1-p)/n+z*z/(4*n*n)))/(1+z*z/n),6) as high, p >= 0.8 as consensus from z")
+def selection_frequency(spark, d):
+    return rounded(S.selection_frequency(subsets(spark, d), "names"))
+
+
+@_add("islands", "with m as (select p_partkey as i from part where p_size > 15), g as (select i, i - row_number() over (order by i) as g from m) select min(i) as start, count(*) as length from g group by g")
+def islands(spark, d):
+    return rounded(S.islands(read(spark, d, "part"), "p_partkey", F.col("p_size") > 15))
+
+
+@_add("country_filter", "select n_name, count(*) as n, round(sum(o_totalprice),2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name in ('ASIA','EUROPE') group by 1")
+def country_filter(spark, d):
+    dims = read(spark, d, "nation").join(read(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rounded(rows.groupBy("n_name").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), 2)
+
+
+@_add("group_disjoint", "select count(*) as shared from (select distinct l_suppkey from lineitem where l_returnflag = 'R' intersect select distinct l_suppkey from lineitem where l_returnflag = 'A')")
+def group_disjoint(spark, d):
+    rows = read(spark, d, "lineitem")
+    a, b = (rows.where(F.col("l_returnflag") == x).select("l_suppkey").distinct() for x in ("R", "A"))
+    return rounded(a.join(b, "l_suppkey", "left_semi").agg(F.count("*").alias("shared")))
+
+
+@_add("manifest_compare", "select count(*) filter (a.s = b.s) as common, count(*) filter (a.s <> b.s) as differing, count(*) filter (b.k is null) as only_a, count(*) filter (a.k is null) as only_b from (select p_partkey as k, p_size as s from part where p_partkey%3 <> 0) a full join (select p_partkey as k, p_size + (p_partkey%5=0)::int as s from part where p_partkey%4 <> 0) b on a.k = b.k")
+def manifest_compare(spark, d):
+    part = read(spark, d, "part")
+    a = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    b = part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("k2"), (F.col("p_size") + (F.col("p_partkey") % 5 == 0).cast("int")).alias("t"))
+    both = a.join(b, F.col("k") == F.col("k2"), "full")
+    return rounded(both.agg(F.count_if(F.col("s") == F.col("t")).alias("common"), F.count_if(F.col("s") != F.col("t")).alias("differing"), F.count_if(F.col("k2").isNull()).alias("only_a"), F.count_if(F.col("k").isNull()).alias("only_b")))
