@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-P, DECAY, LONGEST, LANDMARKS, MAX_LABELLED, CACHE_WORDS = 3, 0.5, 24, 48, 6000, 400_000
+P, DECAY, LONGEST, LANDMARKS, MAX_LABELLED, CACHE_WORDS = 3, 0.5, 24, 32, 6000, 400_000
 WORD = re.compile(r"[^\W_]+(?:[.\-_*'][^\W_]+)*")
 
 
@@ -36,20 +36,18 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         a[i, 0, : len(w)] = [ord(c) for c in w]
     for j, w in enumerate(landmarks):
         b[0, j, : len(w)] = [ord(c) for c in w]
+    # over[k, j]: what a run that ends at k of the landmark weighs for a character at j
+    over = np.triu(DECAY ** (np.arange(t)[None, :] - np.arange(t)[:, None] - 1.0), 1).astype(np.float32)
     same = [(a[:, :, i, None] == b).astype(np.float32) for i in range(n)]  # words x landmarks x t
     ends = same
     for _ in range(P - 1):
-        longer, run = [], np.zeros((len(words), len(landmarks), t), np.float32)
+        longer, run = [], np.zeros((len(words), len(landmarks), t), np.float32)  # weights of shorter ones before i
         for i in range(n):
-            # run[.., j]: weight of shorter ones that end before i in the word and at j in the landmark, decayed to i
-            shifted, acc = np.zeros_like(run), np.zeros(run.shape[:2], np.float32)
-            for j in range(t):
-                shifted[:, :, j] = acc
-                acc = acc * DECAY + run[:, :, j]
-            longer.append(same[i] * shifted)
-            run = run * DECAY + ends[i]
+            longer.append(same[i] * (run @ over))
+            run *= DECAY
+            run += ends[i]
         ends = longer
-    return sum(e.sum(axis=2) for e in ends)
+    return np.add.reduce(ends).sum(axis=2)
 
 
 def features(words: list[str], landmarks: list[str]) -> np.ndarray:
