@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veyra.operators import guard as G
 from veyra.operators import selection as S
 from veyra.operators import survey as V
 
@@ -260,3 +261,51 @@ def manifest_compare(spark, d):
     b = part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("k2"), (F.col("p_size") + (F.col("p_partkey") % 5 == 0).cast("int")).alias("t"))
     both = a.join(b, F.col("k") == F.col("k2"), "full")
     return rounded(both.agg(F.count_if(F.col("s") == F.col("t")).alias("common"), F.count_if(F.col("s") != F.col("t")).alias("differing"), F.count_if(F.col("k2").isNull()).alias("only_a"), F.count_if(F.col("k").isNull()).alias("only_b")))
+
+
+@_add("jackknife_auc", f"""with o as (select o_custkey%25 as g, o_totalprice as s, {URGENT} as y from orders), c as (select g, s, sum(y)::double as p, sum(1-y)::double as n from o group by 1, 2), k as (select distinct g from o),
+x as (select k.g, c.s, sum(p) as p, sum(n) as n from k join c on c.g <> k.g group by 1, 2), w as (select *, sum(n) over (partition by g order by s rows unbounded preceding) as b from x) select g, round(sum(p*(b-n/2))/(sum(p)*sum(n)),6) as auc from w group by 1""")
+def jackknife_auc(spark, d):
+    return rounded(G.jackknife_auc(orders(spark, d).withColumn("g", F.col("o_custkey") % 25), "g", "y", "o_totalprice"))
+
+
+@_add("spearman", "with r as (select l_returnflag, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity)-1)/2.0 as x, rank() over (partition by l_returnflag order by l_discount) + (count(*) over (partition by l_returnflag, l_discount)-1)/2.0 as y from lineitem) select l_returnflag, round(corr(x,y),6) as rho from r group by 1")
+def spearman(spark, d):
+    return rounded(G.spearman(read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount"))
+
+
+@_add("impute_and_scale", "with x as (select case when l_partkey%11 = 0 then null else l_discount end as v, l_returnflag from lineitem), f as (select l_returnflag, coalesce(v, (select median(v) from x)) as v, case when v is null then 1.0 else 0.0 end as i from x), z as (select l_returnflag, (v-(select avg(v) from f))/(select stddev_pop(v) from f) as v, (i-(select avg(i) from f))/(select stddev_pop(i) from f) as i from f) select l_returnflag, round(avg(v),6) as v, round(avg(i),6) as missing from z group by 1")
+def impute_and_scale(spark, d):
+    rows = read(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")).alias("v"))
+    return rounded(G.impute_and_scale(rows, ["v"]).groupBy("l_returnflag").agg(F.avg("v").alias("v"), F.avg("missingindicator_v").alias("missing")))
+
+
+@_add("permuted_composition", "select l_returnflag, sum((l_linestatus = 'O')::int)::bigint as positives from lineitem group by 1")
+def permuted_composition(spark, d):
+    rows = read(spark, d, "lineitem").select("l_returnflag", (F.col("l_linestatus") == "O").cast("int").alias("y"), F.monotonically_increasing_id().alias("k"))
+    return rounded(G.permute_within(rows, ["l_returnflag"], "y", "k", 3).groupBy("l_returnflag").agg(F.sum("y").alias("positives")))
+
+
+@_add("name_forms", "select upper(regexp_replace(name, '\\s+', '', 'g')) as whole, regexp_replace(upper(regexp_replace(name, '\\s+', '', 'g')), '_[^_]*$', '') as base, count(*) as n from (select 'log_' || p_brand || ' ' || '_' || p_size::varchar as name from part) group by 1, 2")
+def name_forms(spark, d):
+    name = F.concat(F.lit("log_"), "p_brand", F.lit(" _"), F.col("p_size").cast("string"))
+    whole = F.upper(F.regexp_replace(name, r"\s+", ""))
+    return rounded(read(spark, d, "part").select(whole.alias("whole"), F.regexp_replace(whole, "_[^_]*$", "").alias("base")).groupBy("whole", "base").agg(F.count("*").alias("n")))
+
+
+@_add("fold_summary", "select event_type, round(avg(v),6) as mean, round(stddev_samp(v),6) as sd, count(*) as n from (select event_type, user_id, avg(value) as v from events group by 1, 2) group by 1")
+def fold_summary(spark, d):
+    return rounded(folds(spark, d).groupBy("event_type").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")))
+
+
+@_add("missing_counts", "select n_missing, count(*) as n from (select (l_partkey%11=0)::int + (l_suppkey%7=0)::int + (l_orderkey%5=0)::int as n_missing from lineitem) group by 1")
+def missing_counts(spark, d):
+    cols = [F.when(F.col(c) % k != 0, F.col(c)) for c, k in (("l_partkey", 11), ("l_suppkey", 7), ("l_orderkey", 5))]
+    return rounded(read(spark, d, "lineitem").select(sum(c.isNull().cast("int") for c in cols).alias("n_missing")).groupBy("n_missing").agg(F.count("*").alias("n")))
+
+
+@_add("legacy_reclassified", "select count(*) as n, count(*) filter ((case when l_extendedprice <= 35000 then 'Low' when l_extendedprice <= 70000 then 'Medium' else 'High' end) <> (" + CASE.format(x=PV_SQL.format(i=1)) + ")) as changed from lineitem")
+def legacy_reclassified(spark, d):
+    x = F.col("l_extendedprice")
+    old = F.when(x <= CUTS[0], "Low").when(x <= CUTS[1], "Medium").otherwise("High")
+    return rounded(read(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(old != V.categorize(pv(1), CUTS, LABELS)).alias("changed")))
