@@ -53,6 +53,28 @@ def test_metrics_sum_to_one(spark):
     assert math.isclose(got["recall"] + got["fnr"], 1) and math.isclose(got["specificity"] + got["fpr"], 1)
 
 
+def test_t_distribution():
+    from veyra.functions.dist import t_cdf, t_ppf, two_sided_p
+
+    assert math.isclose(t_ppf(0.975, 4), 2.7764451051977987, rel_tol=1e-9) and math.isclose(t_cdf(1.0, 1), 0.75, rel_tol=1e-12) and math.isclose(two_sided_p(2.0, math.inf), 0.04550026389635842, rel_tol=1e-9)
+
+
+def test_guard_finds_derived_names():
+    from veyra.operators import guard as G
+
+    assert set(G.forbidden(["log_PV1MATH", "pv3math_1", "ST004"], [r"PV\d+MATH"], prefixes=["LOG_"])) == {"log_PV1MATH", "pv3math_1"}
+    with pytest.raises(G.LeakageError):
+        G.assert_no_leakage(["PV1MATH"], [r"PV\d+MATH"], "test")
+
+
+def test_interval_holds_the_estimate(spark):
+    from veyra.operators import resample as R
+
+    rows = spark.range(600).select((F.col("id") % 20).alias("g"), (F.col("id") * 7 % 10 < 4).cast("int").alias("y"), ((F.col("id") * 7 % 10 < 4).cast("int") * 20 + F.col("id") * 37 % 50).cast("double").alias("s"))
+    low, high = R.cluster_interval(rows, "g", "y", "s", V.auc(rows, [], "y", "s").first()[0], 200)
+    assert low <= V.auc(rows, [], "y", "s").first()[0] <= high
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_against_sql(spark, name):
     import duckdb

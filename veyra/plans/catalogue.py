@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veyra.operators import guard as G
+from veyra.operators import resample as R
 from veyra.operators import selection as S
 from veyra.operators import survey as V
 
@@ -309,3 +310,16 @@ def legacy_reclassified(spark, d):
     x = F.col("l_extendedprice")
     old = F.when(x <= CUTS[0], "Low").when(x <= CUTS[1], "Medium").otherwise("High")
     return rounded(read(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(old != V.categorize(pv(1), CUTS, LABELS)).alias("changed")))
+
+
+@_add("bootstrap_auc", f"""with o as (select o_custkey%25 as g, o_totalprice as s, {URGENT} as y from orders), m as (select r.r as rep, k.g, (k.g*7+r.r*13)%3 as m from (select distinct g from o) k, (select unnest(range(0,5)) as r) r),
+c as (select rep, s, sum(y*m)::double as p, sum((1-y)*m)::double as n from o join m on o.g = m.g group by 1, 2), w as (select *, sum(n) over (partition by rep order by s rows unbounded preceding) - n/2 as b from c) select rep, round(sum(p*b)/(sum(p)*sum(n)),6) as auc from w group by 1""")
+def bootstrap_auc(spark, d):
+    rows = orders(spark, d).withColumn("g", F.col("o_custkey") % 25)
+    m = rows.select("g").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("m", (F.col("g") * 7 + F.col("rep") * 13) % 3)
+    return rounded(R.bootstrap_auc(rows, "g", "y", "o_totalprice", m))
+
+
+@_add("null_summary", "select round(avg(value),6) as mean, round(stddev_samp(value),6) as sd, round(quantile_cont(value,0.025),6) as q025, round(quantile_cont(value,0.975),6) as q975, max(value) as max, round((count(*) filter (value >= 50)+1)/(count(*)+1.0),6)::double as p from events")
+def null_summary(spark, d):
+    return rounded(R.null_summary(read(spark, d, "events"), "value", 50.0))
