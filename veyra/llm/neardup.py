@@ -159,7 +159,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = materialize(pairs.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    texts = materialize(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates
+    texts = materialize(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
 
     def confirmed(some: DataFrame) -> DataFrame:
