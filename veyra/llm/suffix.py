@@ -114,20 +114,39 @@ def repeated(pieces: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An anchor's hash, the first start that chooses it, and how far the anchor and the last such start lie behind it."""
+    def put(keys: list[bytes], parts: list[tuple]) -> pa.RecordBatch:
+        h, first, fit = (np.concatenate(c) if parts else np.empty(0, np.int64) for c in (zip(*parts) if parts else ((), (), ())))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(h, pa.int64()), pa.array(first, pa.int64()), pa.array(fit, pa.int32())], names=["key", "h", "a", "fit"])
+
+    keys, parts = [], []
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             pos, h, first, last = anchors(np.frombuffer(text.encode(), np.uint8))
             if len(pos):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(pos), pa.string()), pa.array(h), pa.array(pos), pa.array(first), pa.array(last)], names=["key", "h", "pos", "a", "b"])
+                keys.extend([key] * len(pos))
+                parts.append((h, first, ((pos - first) << 8 | (last - first)).astype(np.int32)))
+            if len(keys) >= 20_000:
+                yield put(keys, parts)
+                keys, parts = [], []
+    yield put(keys, parts)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text, spots): the bytes around each spot of anchors that stand more than once."""
+    rows: list[tuple] = []
+
+    def put() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "h", "a", "span", "off", "piece"])
+
     for batch in batches:
         for key, text, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = text.encode()
-            rows = [(key, s["h"], s["a"], s["b"] - s["a"], s["pos"] - s["a"], data[s["a"] : s["b"] + LENGTH]) for s in spots]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "h", "a", "span", "off", "piece"])
+            rows.extend((key, s["h"], s["a"], s["fit"] & 255, s["fit"] >> 8, data[s["a"] : s["a"] + (s["fit"] & 255) + LENGTH]) for s in spots)
+            if len(rows) >= 5000:
+                yield put()
+                rows.clear()
+    yield put()
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,22 +191,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row."""
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
-    texts = rows.groupBy("key").agg(F.count("*").alias("many"), F.min_by(F.struct("doc_id"), "doc_id").alias("head"))
-    counts = materialize(texts.select("key", "many", F.col("head.doc_id").alias("head")), "texts")
-    lone = counts.where("head is not null")
-    heads = rows.where(F.octet_length("text") >= LENGTH).join(lone, [rows["key"] == lone["key"], rows["doc_id"] == lone["head"]], "left_semi").dropDuplicates(["key"])
-    marks = materialize(heads.select("key", "text").mapInArrow(_marks, "key string, h long, pos long, a long, b long"), "marks")
-    common = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    spots = marks.join(common, "h").groupBy("key").agg(F.collect_list(F.struct("h", "pos", "a", "b")).alias("spots"))
-    pieces = materialize(heads.select("key", "text").join(spots, "key").select("key", "text", "spots").mapInArrow(_pieces, "key string, h long, a long, span long, off long, piece binary"), "pieces")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"))
+    long = rows.where(F.octet_length("text") >= LENGTH).select("key", "text")
+    marks = materialize(long.mapInArrow(_marks, "key binary, h long, a long, fit int"), "marks")
+    # two places at least: copies of a text give one place, and the hash of a place tells them apart
+    place = F.xxhash64("key", "a")
+    common = marks.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("h")
+    spots = materialize(marks.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "a", "fit")).alias("spots")), "spots")
+    # texts are shuffled twice only: here, copies merged in each task before, and for the result
+    heads = long.dropDuplicates(["key"]).join(spots, "key").select("key", "text", "spots")
+    pieces = materialize(heads.mapInArrow(_pieces, "key binary, h long, a long, span long, off long, piece binary"), "pieces")
     merged = pieces.groupBy("h", "piece", "span", "off").agg(F.count("*").alias("n"))
     order = merged.select("h", "piece", "span", "off", "n").repartitionByRange("h").sortWithinPartitions("h")
     flagged = materialize(order.mapInArrow(_sorted_buckets, "h long, piece binary, span long, flags binary").where(F.col("flags").contains(F.lit(b"\x01"))).select("h", F.xxhash64("piece").alias("p"), "span", F.octet_length("piece").alias("size"), "flags").dropDuplicates(["h", "p", "span", "size"]), "flags")
     placed = pieces.select("key", "a", "h", F.xxhash64("piece").alias("p"), "span", F.octet_length("piece").alias("size")).join(flagged, ["h", "p", "span", "size"])
     found = placed.groupBy("key").agg(F.collect_list(F.struct("a", "flags")).alias("found"))
-    facts = counts.select("key", "many").join(found, "key", "left").where("many > 1 or found is not null")
+    copies = long.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    facts = copies.join(found, "key", "full")
     return rows.join(facts, "key", "left").select("doc_id", "text", F.coalesce("many", F.lit(1)).alias("many"), "found").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
