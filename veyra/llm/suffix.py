@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-LENGTH, K, CHUNK = 200, 50, 1 << 20
+LENGTH, K, CHUNK, BUCKET = 200, 50, 1 << 20, 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,13 +154,16 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple] = []
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated([(p, 0, span, n) for _, p, span, _, n in rows])
+        # strings that are equal share an anchor, so a piece that is alone at its anchor has only its own copies
+        alone = [(k == 0 or rows[k - 1][0] != r[0]) and (k + 1 == len(rows) or rows[k + 1][0] != r[0]) for k, r in enumerate(rows)]
+        sorted_in = iter(repeated([(p, 0, span, n) for (_, p, span, _, n), one in zip(rows, alone) if not one]))
+        flags = [np.full(r[2] + 1, r[4] > 1) if one else next(sorted_in) for r, one in zip(rows, alone)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows]), pa.array([f.tobytes() for f in flags], pa.binary())], names=["h", "piece", "span", "flags"])
 
     size = 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if size > 1 << 20 and row[0] != held[-1][0]:
+            if size > BUCKET and row[0] != held[-1][0]:
                 yield done(held)
                 held, size = [], 0
             held.append(row)
@@ -174,15 +177,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, out = batch.column(0), []
         for text, many, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             data = (text or "").encode()
-            gone = np.zeros(len(data) + 1, np.int32)
-            if many > 1 and len(data) >= LENGTH:
-                gone[0] += 1
-                gone[-1] -= 1
+            starts = np.full(max(0, len(data) - LENGTH + 1), many > 1)
             for x in found or ():
-                at = np.flatnonzero(np.frombuffer(x["flags"], bool)) + x["a"]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + LENGTH, -1)
-            hit = np.cumsum(gone[:-1]) > 0
+                starts[x["a"] : x["a"] + len(x["flags"])] |= np.frombuffer(x["flags"], bool)
+            gone = np.zeros(len(data), np.int32)
+            gone[: len(starts)] += starts
+            gone[LENGTH:] -= starts[: len(data) - LENGTH] if len(starts) else False
+            hit = np.cumsum(gone) > 0
             edges = np.diff(np.concatenate(([0], hit.astype(np.int8))))
             out.append((len(data), int(hit.sum()), int((edges == 1).sum()), np.frombuffer(data, np.uint8)[~hit].tobytes()))
         n, r, s, kept = zip(*out) if out else ((), (), (), ())
