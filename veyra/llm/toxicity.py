@@ -90,25 +90,29 @@ def _windows(w: str) -> list[str]:
     return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
 
 
-def _signs(texts: list[tuple[set[str], int]]) -> tuple[list[str], Counter, Counter]:
+def _signs(texts: list[tuple[tuple[str, ...], int]]) -> tuple[list[str], Counter, Counter]:
     """Word beginnings that mark toxic texts, and words' counts: each adds the most texts to those already covered, and
     stands in hardly any clean one."""
     bad, good = Counter(), Counter()
     for words, toxic in texts:
         (bad if toxic else good).update(words)
-    clean = Counter()
+    starts = Counter()
+    for words, toxic in texts:
+        if toxic:
+            starts.update({w[:k] for w in words if w not in good for k in range(4, min(10, len(w)) + 1)})
+    clean = Counter({s: 0 for s, c in starts.items() if c >= 3})
     for w, c in good.items():
-        for k in range(4, 11):
-            if k <= len(w):
+        for k in range(4, min(10, len(w)) + 1):
+            if w[:k] in clean:
                 clean[w[:k]] += c
-    found: dict[str, set[int]] = {}
+    found: dict[str, set[int]] = {s: set() for s, c in clean.items() if c <= 0.02 * starts[s]}
     for i, (words, toxic) in enumerate(texts):
         if toxic:
             for w in words:
-                for k in range(4, min(10, len(w)) + 1):
-                    if w not in good:
-                        found.setdefault(w[:k], set()).add(i)
-    found = {s: d for s, d in found.items() if len(d) >= 3 and clean[s] <= 0.02 * len(d)}
+                if w not in good:
+                    for k in range(4, min(10, len(w)) + 1):
+                        if w[:k] in found:
+                            found[w[:k]].add(i)
     least = max(3, round(0.002 * sum(y for _, y in texts)))
     picked: list[str] = []
     for _ in range(LANDMARKS):
@@ -125,7 +129,9 @@ def _signs(texts: list[tuple[set[str], int]]) -> tuple[list[str], Counter, Count
 
 def train(rows: list[tuple[str | None, int]]) -> Machine:
     """From labelled texts. Without both labels, a machine that finds nothing."""
-    texts = [(units(t), y) for t, y in rows]
+    once: dict[str, str] = {}  # one string for each distinct word: the driver's memory
+    texts = [(tuple(once.setdefault(w, w) for w in units(t)), y) for t, y in rows]
+    once.clear()
     landmarks, bad, good = _signs(texts)
     if not landmarks or not good:
         return Machine(["none"], np.zeros(1, np.float32), -1.0)
