@@ -1,6 +1,7 @@
 """The operators of the subpackage against brute force, round trips and held-out labels, and on awkward rows."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -159,3 +160,18 @@ def test_warc_filters_and_payloads(spark, tmp_path):
     assert got == {1: ("revisit", 2, 2000), 2: ("response", None, 2000), 3: ("response", None, 0), 4: ("response", None, 5), 5: ("response", None, 5), None: ("response", None, 1500)}
     only = back.where("record_type = 'response' and page_id = 2").select("payload").collect()
     assert [bytes(r[0]) for r in only] == [b"a" * 2000]
+
+
+def test_suffix_edges(spark):
+    """Nulls, empty texts, exact copies, equal rows, edited copies, shared passages and repeats within one text."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefg hé") for _ in range(n))
+    base, passage = word(900), word(260)
+    edited = [base[:i] + "#" + base[i + 1 :] for i in (100, 450, 451, 800)]
+    texts = [None, "", "x" * 199, "y" * 700, base, base, *edited, word(300) + passage + word(300), passage + word(50) + passage, word(400), word(199)]
+    rows = [*enumerate(texts), (len(texts), word(230)), (len(texts), None)]
+    rows[-1] = rows[-2]  # a repeated row counts as two places
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, key string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.h) for r in suffix.cut(docs).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) h").collect())
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, suffix.brute_force([t for _, t in rows])))
+    assert suffix.cut(docs.limit(0)).count() == 0
