@@ -5,13 +5,16 @@ signature values; a node's candidates are its neighbours in that order whose com
 needed prefix grows where neighbours share long ones (a region of near copies), so sparse regions keep shallow
 candidates and dense ones don't multiply. Candidates whose signatures agree enough are confirmed on the full sets: first
 each node's best one, then all that still join different components. Orders are range partitioned, so no group of
-copies lands in one task. Null and empty texts have no shingles, are linked with nothing and stay; rows of equal id
+copies lands in one task. Neighbours alone miss a node whose only partner stands far inside a region of near copies, so
+a last step takes, in each order, every pair of nodes that share the first LEAST_DEPTH values and are still in different
+components; nodes of a region's largest component are paired with those outside it only. Null and empty texts have no shingles, are linked with nothing and stay; rows of equal id
 share a component; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -117,14 +120,35 @@ def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
+    kept = lru_cache(64)(shingles)  # successive pairs share a text
+
     def one(p: str, q: str) -> bool:
-        s, t = shingles(p), shingles(q)
+        s, t = kept(p), kept(q)
         both = len(np.intersect1d(s, t, assume_unique=True))
         return 100 * both >= SHARE * (len(s) + len(t) - both)
 
     return pd.Series([one(p, q) for p, q in zip(x, y)])
 
 
+def _buckets(sig: str = "sig"):
+    """Of each tree, a hash of the tree and its first LEAST_DEPTH values."""
+    starts = [np.random.default_rng(t).permutation(HASHES)[:LEAST_DEPTH] for t in range(TREES)]
+    return F.array(*[F.xxhash64(F.lit(t), *[F.substring(sig, int(2 * i + 1), 2) for i in start]) for t, start in enumerate(starts)])
+
+
+def completing(sigs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share the first LEAST_DEPTH values of a tree, a < b. Buckets of one
+    component drop out; in others, rows outside the most frequent component meet all rows."""
+    rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode(_buckets()).alias("bucket"))
+    rooted = materialize(rooted, "buckets")
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", "main")
+    mixed = materialize(rooted.join(held, "bucket"), "mixed")
+    x = mixed.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("inside"))
+    met = x.join(y, "bucket").where((F.col("rx") != F.col("ry")) & (F.col("inside") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (least node that links reach) of links (a, b): alternating large and small stars. A hot centre's
     row is one pair for each neighbour, and minima are summed before the shuffle."""
@@ -156,13 +180,20 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = sigs.mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = rows.mapInArrow(_neighbours, "a long, b long").distinct()
     x, y = sigs.withColumnsRenamed({"node": "a", "sig": "x"}), sigs.withColumnsRenamed({"node": "b", "sig": "y"})
-    pairs = materialize(pairs.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    texts = materialize(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
+
+    def agreeing(some: DataFrame) -> DataFrame:
+        return some.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        needed = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+        return materialize(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
+
+    pairs = materialize(agreeing(pairs), "pairs")
+    texts = texts_of(pairs)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame, texts: DataFrame = texts) -> DataFrame:
         p, q = texts.select(F.col("node").alias("a"), F.col("text").alias("p")), texts.select(F.col("node").alias("b"), F.col("text").alias("q"))
         return some.join(p, "a").join(q, "b").where(F.pandas_udf(_linked, "boolean")("p", "q")).select("a", "b")
 
@@ -176,7 +207,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     more = confirmed(across(pairs.select("a", "b")))
     spread = sets.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")  # rows of one id
     same_id = member.join(spread, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = components(links.unionByName(more).unionByName(same_id))
+    links = materialize(links.unionByName(more).unionByName(same_id), "links")
+    roots = components(links)
+    rest = materialize(agreeing(completing(sigs, roots)), "pairs")
+    roots = components(links.unionByName(confirmed(rest, texts_of(rest))))
     placed = member.distinct().join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return sketched.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
