@@ -2,7 +2,7 @@
 
 import random
 
-from veyra.llm import neardup
+from veyra.llm import lines, neardup
 
 
 def test_near_copy_of_one_member_of_a_large_group(spark):
@@ -20,3 +20,17 @@ def test_near_copy_of_one_member_of_a_large_group(spark):
         assert i == 1000 or len(s & r) / len(s | r) < 0.7
     got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
+
+
+def _gone(spark, rows):
+    return {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_run_whose_pairs_stand_earlier_elsewhere(spark):
+    """A pair of lines of the passage stands in an unrelated document first, whichever of its two pairs is the fingerprint."""
+    rows, want = [], {}
+    for i in range(0, 200, 10):
+        a, b, c = f"a{i}", f"b{i}", f"c{i}"
+        rows += [(i, f"x{i}\n{a}\n{b}\ny{i}"), (i + 1, f"u{i}\n{b}\n{c}\nv{i}"), (i + 2, f"{a}\n{b}\n{c}"), (i + 3, f"{a}\n{b}\n{c}\nz{i}")]
+        want |= {i: (rows[-4][1], 0), i + 1: (rows[-3][1], 0), i + 2: (rows[-2][1], 0), i + 3: (f"z{i}", 3)}
+    assert _gone(spark, rows) == want

@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only.
-
-Every pair of successive lines has a hash; of each two successive pairs the smaller is a fingerprint, so every run of
-three lines holds one. A fingerprint's later positions are joined to its first (by doc_id, text, position), the two
-documents' line hashes are compared along that offset, which extends the match both ways, and each run of three or more
-equal lines is deleted from the later place. Runs are judged on the input. Documents of equal doc_id and text are one
-document; null ids come last; a null text has no lines and stays null; documents of fewer than three lines stay as
-they are. Extra columns stay.
+"""Line dedup by fingerprints of line runs; DataFrame functions only.
+
+The shortest runs that count are three lines. Every such run
+has a hash (64 bits) as its fingerprint, and each place of a fingerprint but its first (by doc_id, text, position) is
+deleted. A longer repeated run consists of these, so matches extend as far as lines are equal, whatever stands first
+for each part. Winnowing keeps all fingerprints here, as none is shorter than the shortest match. Runs are judged on the
+input. Documents of equal doc_id and text are one document; null ids
+come last; a null text has no lines and stays null. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -15,33 +15,30 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-LAST = (1 << 63) - 1
+LAST, LINES = (1 << 63) - 1, 3
 
 
-def _fingerprints(h: Column) -> Column:
-    """Positions of window minima among the pairs' hashes; leftmost at ties."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("fp"), i.alias("pos")))
-    minima = F.transform(F.sequence(F.lit(0), F.size(pairs) - 2), lambda i: F.least(F.get(pairs, i), F.get(pairs, i + 1)))
-    return F.array_distinct(minima)
+def _fingerprints(lines: Column) -> Column:
+    """Fingerprint, position and number of lines of each shortest run; lines: hash h of each line."""
+    size = F.size(lines)
+
+    def runs(n: int) -> Column:
+        places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get(lines, i + j)["h"] for j in range(n)]).alias("fp"), i.alias("pos"), F.lit(n).alias("n")))
+
+    return F.concat(*[runs(n) for n in (LINES,)])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document with lines to delete: k (id), t (hash of the text) and gone (their positions, from 0)."""
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text_col).alias("t")]
-    h = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(x))
-    base = materialize(docs.select(*key, h.alias("h")).where(F.size("h") >= 3).dropDuplicates(["k", "t"]), "lines")
-    marks = base.select("k", "t", F.explode(_fingerprints(F.col("h"))).alias("m")).select("k", "t", "m.fp", "m.pos")
-    first = marks.groupBy("fp").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h")))
+    base = materialize(docs.select(*key, lines.alias("lines")).where(F.col(text_col).isNotNull()).dropDuplicates(["k", "t"]), "lines")
+    marks = base.select("k", "t", F.explode(_fingerprints(F.col("lines"))).alias("m")).select("k", "t", "m.fp", "m.pos", "m.n")
+    first = marks.groupBy("fp").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
     later = marks.join(first, "fp").where(F.struct("k", "t", "pos") > F.col("f"))
-    lanes = later.select("k", "t", F.col("f.k").alias("fk"), F.col("f.t").alias("ft"), (F.col("pos") - F.col("f.pos")).alias("lag")).distinct()
-    both = lanes.join(base.withColumnsRenamed({"k": "fk", "t": "ft", "h": "g"}), ["fk", "ft"]).join(base, ["k", "t"])
-    low, high = F.greatest(F.lit(0), F.col("lag")), F.least(F.size("h"), F.size("g") + F.col("lag")) - 3
-    same = F.filter(
-        F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
-        lambda s: (F.get("h", s) == F.get("g", s - F.col("lag"))) & (F.get("h", s + 1) == F.get("g", s + 1 - F.col("lag"))) & (F.get("h", s + 2) == F.get("g", s + 2 - F.col("lag"))),
-    )
-    lines = both.select("k", "t", F.array_distinct(F.flatten(F.transform(same, lambda s: F.array(s, s + 1, s + 2)))).alias("one")).where(F.size("one") > 0)
-    return lines.groupBy("k", "t").agg(F.array_distinct(F.flatten(F.collect_list("one"))).alias("gone"))
+    runs = later.groupBy("k", "t").agg(F.collect_list(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("runs"))
+    return runs.select("k", "t", F.array_distinct(F.flatten("runs")).alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
