@@ -34,3 +34,10 @@ def test_run_whose_pairs_stand_earlier_elsewhere(spark):
         rows += [(i, f"x{i}\n{a}\n{b}\ny{i}"), (i + 1, f"u{i}\n{b}\n{c}\nv{i}"), (i + 2, f"{a}\n{b}\n{c}"), (i + 3, f"{a}\n{b}\n{c}\nz{i}")]
         want |= {i: (rows[-4][1], 0), i + 1: (rows[-3][1], 0), i + 2: (rows[-2][1], 0), i + 3: (f"z{i}", 3)}
     assert _gone(spark, rows) == want
+
+
+def test_long_repeats_of_one_or_two_lines(spark):
+    long, half = " ".join(f"w{i}" for i in range(51)), [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 26), ("q", 25), ("r", 24))]
+    rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, "\n".join(half[:2])), (5, "\n".join(["c", *half[:2]])), (6, "\n".join(half[1:])), (7, "\n".join([*half[1:], "d"])), (8, " ".join(long.split()[:50])), (9, " ".join(long.split()[:50]))]
+    got = _gone(spark, rows)
+    assert got == {k: (t, 0) for k, t in rows} | {2: ("", 1), 3: ("a\nb", 1), 5: ("c", 2)}

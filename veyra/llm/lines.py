@@ -1,10 +1,10 @@
 """Line dedup by fingerprints of line runs; DataFrame functions only.
 
-The shortest runs that count are three lines. Every such run
+The shortest runs that count are three lines, of any length, and one or two lines of over WORDS words. Every such run
 has a hash (64 bits) as its fingerprint, and each place of a fingerprint but its first (by doc_id, text, position) is
 deleted. A longer repeated run consists of these, so matches extend as far as lines are equal, whatever stands first
 for each part. Winnowing keeps all fingerprints here, as none is shorter than the shortest match. Runs are judged on the
-input. Documents of equal doc_id and text are one document; null ids
+input. Words are runs of signs other than white space. Documents of equal doc_id and text are one document; null ids
 come last; a null text has no lines and stays null. Extra columns stay.
 """
 
@@ -15,24 +15,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-LAST, LINES = (1 << 63) - 1, 3
+LAST, LINES, WORDS = (1 << 63) - 1, 3, 50
 
 
 def _fingerprints(lines: Column) -> Column:
-    """Fingerprint, position and number of lines of each shortest run; lines: hash h of each line."""
+    """Fingerprint, position and number of lines of each shortest run; lines: hash h and words w of each line."""
     size = F.size(lines)
 
     def runs(n: int) -> Column:
         places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        if n < LINES:
+            places = F.filter(places, lambda i: sum((F.get(lines, i + j)["w"] for j in range(1, n)), F.get(lines, i)["w"]) > WORDS)
         return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get(lines, i + j)["h"] for j in range(n)]).alias("fp"), i.alias("pos"), F.lit(n).alias("n")))
 
-    return F.concat(*[runs(n) for n in (LINES,)])
+    return F.concat(*[runs(n) for n in range(1, LINES + 1)])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document with lines to delete: k (id), t (hash of the text) and gone (their positions, from 0)."""
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text_col).alias("t")]
-    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h")))
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w")))
     base = materialize(docs.select(*key, lines.alias("lines")).where(F.col(text_col).isNotNull()).dropDuplicates(["k", "t"]), "lines")
     marks = base.select("k", "t", F.explode(_fingerprints(F.col("lines"))).alias("m")).select("k", "t", "m.fp", "m.pos", "m.n")
     first = marks.groupBy("fp").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
