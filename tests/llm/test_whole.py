@@ -2,7 +2,7 @@
 
 import random
 
-from veyra.llm import lines, neardup
+from veyra.llm import lines, neardup, warc
 
 
 def test_near_copy_of_one_member_of_a_large_group(spark):
@@ -41,3 +41,13 @@ def test_long_repeats_of_one_or_two_lines(spark):
     rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, "\n".join(half[:2])), (5, "\n".join(["c", *half[:2]])), (6, "\n".join(half[1:])), (7, "\n".join([*half[1:], "d"])), (8, " ".join(long.split()[:50])), (9, " ".join(long.split()[:50]))]
     got = _gone(spark, rows)
     assert got == {k: (t, 0) for k, t in rows} | {2: ("", 1), 3: ("a\nb", 1), 5: ("c", 2)}
+
+
+def test_null_page_id_among_equal_payloads(spark, tmp_path):
+    warc.register(spark)
+    path, html = f"file://{tmp_path}/w", "a" * 2000
+    rows = [(1, "u", html), (2, "u", html), (None, "u", html), (None, "v", "b" * 1500), (None, "v", "b" * 1500)]
+    warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).write.format("warc").mode("append").save(path)
+    got = sorted((str(r["page_id"]), r["record_type"], r["payload_bytes"], bytes(r["payload"] or b"").decode()) for r in spark.read.format("warc").load(path).collect())
+    none = ("None", "response")
+    assert got == [("1", "revisit", 2000, ""), ("2", "response", 2000, html), (*none, 1500, "b" * 1500), (*none, 1500, "b" * 1500), (*none, 2000, html)]

@@ -225,7 +225,7 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload")).withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = F.col("first").isNotNull() & (F.col("page_id") < F.col("first"))
+    later = F.coalesce(F.col("page_id") < F.col("first"), F.lit(False))
     out = rows.join(first, ["payload_digest", "payload_bytes"], "left")
     return out.select(
         F.when(later, "revisit").otherwise("response").alias("record_type"),
