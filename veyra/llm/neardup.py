@@ -82,7 +82,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = [int(_mix(s).sum().view(np.int64)), int(_mix(s + M).sum().view(np.int64))] if len(s) else [0, 0]
                 out.append((len(s), *key, signature(s).tobytes() if len(s) else None))
             n, k1, k2, sig = zip(*out)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "t", "n", "k1", "k2", "sig"])
 
 
 def _neighbours(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def components(links: DataFrame) -> DataFrame:
     row is one pair for each neighbour, and minima are summed before the shuffle."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, seen = materialize(edges, "edges"), None
-    for _ in range(60):
+    while True:  # ends when a round changes nothing
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -171,12 +171,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    sketched = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary"), "sketches")
+    ident = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t")]
+    sketched = materialize(docs.select(ident[0], text_col, ident[1]).mapInArrow(_sketch, "doc_id long, t long, n long, k1 long, k2 long, sig binary"), "sketches")
     sets = sketched.where("n > 0 and doc_id is not null")
-    nodes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    member = materialize(sets.select("doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("doc_id", "node"), "members")
-    heads = sketched.join(member.where("doc_id = node").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
-    sigs = materialize(heads.select(F.col("doc_id").alias("node"), "sig"), "signatures")
+    key = ["k1", "k2", "n"]
+    nodes = sets.groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("head"))
+    # a node is its set's least doc_id; where rows of one id have several sets, the others take numbers of their own beyond all ids
+    first = nodes.groupBy("head.doc_id").agg(F.min("head.t").alias("own"))
+    nodes = nodes.select(*key, "head", F.col("head.doc_id").alias("doc_id")).join(first, "doc_id")
+    nodes = nodes.select(*key, "head", F.when(F.col("head.t") == F.col("own"), F.col("doc_id")).otherwise(F.shiftrightunsigned("k1", 2) + F.lit(1 << 62)).alias("node"))
+    member = materialize(sets.join(nodes, key).select("doc_id", "node", F.when(F.struct("doc_id", "t") == F.col("head"), F.struct("t", "sig")).alias("at")), "members")
+    heads = materialize(member.where("at is not null").select("node", "doc_id", "at.t", "at.sig").dropDuplicates(["node"]), "signatures")
+    member, sigs = member.select("doc_id", "node"), heads.select("node", "sig")
     rows = sigs.mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = rows.mapInArrow(_neighbours, "a long, b long").distinct()
     x, y = sigs.withColumnsRenamed({"node": "a", "sig": "x"}), sigs.withColumnsRenamed({"node": "b", "sig": "y"})
@@ -186,8 +192,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def texts_of(some: DataFrame) -> DataFrame:
         needed = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-        return materialize(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
+        needed = heads.join(needed, "node").select("node", "doc_id", "t")
+        texts = docs.select(*ident, F.col(text_col).alias("text")).where(F.length("text") > 0)
+        return materialize(texts.join(needed.hint("merge"), ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
 
     pairs = materialize(agreeing(pairs), "pairs")
     texts = texts_of(pairs)
