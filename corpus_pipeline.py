@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each over all that its predecessor kept."""
+"""A corpus pipeline of five stages, each over all that its predecessor kept.
+
+Stages take documents with any further columns and return COLUMNS; the last returns digests. Null and empty texts pass
+every stage (no signs, no lines, no shingles, no words, no tokens) and null ids stay, as documents of their own where
+texts differ; rows of one id are one document for near-dedup, which keeps one of them. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +29,19 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    kept = neardup.cluster(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
+    """The document with the smallest id of each group of near copies stays, as one row: of rows with that id, the one
+    with the least hash of its text. Rows without id take part under an id made of their text's hash, after all others."""
+    h = F.xxhash64("text")
+    keyed = docs.select(*COLUMNS).withColumns({"_h": h, "_k": F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(h, 2) + F.lit(1 << 62))})
+    heads = neardup.cluster(keyed, id_col="_k").where("doc_id = component_id").select(F.col("doc_id").alias("_k")).distinct()
+    rows = keyed.groupBy("_k").agg(F.min("_h").alias("_h")).join(heads, "_k")
+    return keyed.join(rows, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*COLUMNS)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least a twentieth is benchmark text go."""
-    found = decontaminate.contaminated(decontaminate.find(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
-    return found.where("not contaminated").select(*COLUMNS)
+    """Documents go that hold benchmark text as long as a window, however long they are, or a twentieth of which is such text."""
+    found = decontaminate.find(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(found).where(~decontaminate.leaked()).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
