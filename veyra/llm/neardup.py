@@ -1,14 +1,19 @@
 """MinHash near-dedup with an LSH forest.
 
 Documents of equal shingle sets are one node. Each tree of the forest is a sorted order of the nodes by its own run of
-signature values; a node's candidates are its neighbours in that order whose common prefix is long enough, and the
-needed prefix grows where neighbours share long ones (a region of near copies), so sparse regions keep shallow
-candidates and dense ones don't multiply. Candidates whose signatures agree enough are confirmed on the full sets: first
-each node's best one, then all that still join different components. Orders are range partitioned, so no group of
-copies lands in one task. Neighbours alone miss a node whose only partner stands far inside a region of near copies, so
-a last step takes, in each order, every pair of nodes that share the first LEAST_DEPTH values and are still in different
-components; nodes of a region's largest component are paired with those outside it only. Null and empty texts have no shingles, are linked with nothing and stay; rows of equal id
-share a component; extra columns are ignored.
+signature values; a node's candidates are its neighbours in that order whose common prefix has LEAST_DEPTH values, and
+two more for the second neighbour. Candidates whose signatures agree enough are confirmed on the full sets: first each
+node's best one, then all that still join different components. Orders are range partitioned, so no group of copies
+lands in one task.
+
+Neighbours alone miss a node whose only partner stands far inside a region of near copies. A last step takes each region
+(rows of a tree that share its first LEAST_DEPTH values) that holds several components. Those of up to SMALL rows give
+all pairs of different components; in larger ones the nodes outside the largest component meet all the region's nodes in
+blocks of bounded size, where full sets are compared at once and only links leave a task. A pair at a similarity of 0.75
+is missed only if it shares LEAST_DEPTH values in none of the trees: two in a million.
+
+Null and empty texts have no shingles, are linked with nothing and stay. Rows of equal id share a component, each with its
+own text; rows without id are linked with nothing and carry a null component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SIZE, SHARE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEAR = 5, 75, 128, 24, 12, 3, 2
+#: Regions of more rows are compared in blocks of BLOCK by BLOCK nodes.
+SMALL, BLOCK = 48, 1000
 #: Least share of agreeing signature values; at 128 values a pair at 0.75 falls below it once in more than ten million.
 SKETCHED = 0.54
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -136,19 +143,72 @@ def _buckets(sig: str = "sig"):
     return F.array(*[F.xxhash64(F.lit(t), *[F.substring(sig, int(2 * i + 1), 2) for i in start]) for t, start in enumerate(starts)])
 
 
-def completing(sigs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share the first LEAST_DEPTH values of a tree, a < b. Buckets of one
-    component drop out; in others, rows outside the most frequent component meet all rows."""
+def regions(sigs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root, main, size) of rows of each tree that share its first LEAST_DEPTH values with a node of another
+    component; main is the bucket's most frequent component, size its number of rows."""
     rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode(_buckets()).alias("bucket"))
     rooted = materialize(rooted, "buckets")
-    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", "main")
-    mixed = materialize(rooted.join(held, "bucket"), "mixed")
-    x = mixed.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("inside"))
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1").drop("kinds")
+    return materialize(rooted.join(held, "bucket"), "mixed")
+
+
+def small_regions(mixed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components in regions of at most SMALL rows."""
+    small = mixed.where(F.col("size") <= SMALL)
+    x = small.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = small.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("inside"))
     met = x.join(y, "bucket").where((F.col("rx") != F.col("ry")) & (F.col("inside") | (F.col("x") < F.col("y"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _block_links(key: tuple, table: pa.Table) -> pa.Table:
+    """Links of a block: rows x against rows y (side 0 and 1), counted through the places of each shingle among the y."""
+    side, node, root = (table.column(c).to_numpy() for c in ("side", "node", "root"))
+    sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+    ys = np.flatnonzero(side == 1)
+    a, b = [], []
+    if len(ys):
+        sizes = np.array([len(sets[i]) for i in ys])
+        every, of = np.concatenate([sets[i] for i in ys]), np.repeat(np.arange(len(ys)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, of = every[order], of[order]
+        for i in np.flatnonzero(side == 0):
+            lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(of[at], minlength=len(ys))
+            hit = np.flatnonzero((100 * both >= SHARE * (sizes + len(sets[i]) - both)) & (root[ys] != root[i]))
+            _, one = np.unique(root[ys][hit], return_index=True)  # one link to each component is enough
+            a += [min(int(node[i]), int(node[ys[j]])) for j in hit[one]]
+            b += [max(int(node[i]), int(node[ys[j]])) for j in hit[one]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+
+
+def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
+    """Links (a, b) between components in larger regions. Nodes outside the main component meet all the region's nodes in
+    blocks of BLOCK by BLOCK, where full sets are compared at once; pairs themselves are never rows."""
+    large = materialize(mixed.where(F.col("size") > SMALL), "large")
+    sets = texts_of(large.select("node")).mapInArrow(_sets, "node long, shingles binary")
+    outside = large.where("root <> main").groupBy("bucket").agg(F.count("*").alias("outside"))
+    rows = large.join(outside, "bucket")
+
+    def cut(n: str):
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+
+    def dealt(salt: int, n: str):
+        return F.pmod(F.xxhash64(F.lit(salt), "node"), cut(n)).cast("int")
+
+    x = rows.where("root <> main").select("bucket", "node", "root", F.lit(0).alias("side"), dealt(1, "outside").alias("i"), F.explode(F.sequence(F.lit(0), cut("size") - 1)).alias("j"))
+    y = rows.select("bucket", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), cut("outside") - 1)).alias("i"), dealt(2, "size").alias("j"))
+    met = x.unionByName(y).join(sets, "node")
+    return met.groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (least node that links reach) of links (a, b): alternating large and small stars. A hot centre's
     row is one pair for each neighbour, and minima are summed before the shuffle."""
@@ -191,7 +251,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return some.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        needed = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = (some.select(F.explode(F.array("a", "b")).alias("node")) if "a" in some.columns else some).distinct()
         needed = heads.join(needed, "node").select("node", "doc_id", "t")
         texts = docs.select(*ident, F.col(text_col).alias("text")).where(F.length("text") > 0)
         return materialize(texts.join(needed.hint("merge"), ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"]), "texts")  # only documents with candidates; dealt out alike at every size
@@ -216,8 +276,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same_id = member.join(spread, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     links = materialize(links.unionByName(more).unionByName(same_id), "links")
     roots = components(links)
-    rest = materialize(agreeing(completing(sigs, roots)), "pairs")
-    roots = components(links.unionByName(confirmed(rest, texts_of(rest))))
+    mixed = regions(sigs, roots)
+    rest = materialize(agreeing(small_regions(mixed)), "pairs")
+    roots = components(links.unionByName(confirmed(rest, texts_of(rest))).unionByName(large_regions(mixed, texts_of)))
     placed = member.distinct().join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return sketched.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
