@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, text_batches
 
 CACHE_WORDS = 400_000
 
@@ -52,6 +52,7 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (binary, from the ids)."""
+    text_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # one vocabulary: a fixed size
     kind = docs.schema[id_col].dataType.simpleString()
 

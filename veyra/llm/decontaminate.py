@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .common import table
+from .common import table, text_batches
 
 #: An automaton takes about 47 bytes for each character of windows (measured): 376 MB in a Python worker at this bound.
 SIZE, MAX_CHARS = 13, 8_000_000
@@ -65,6 +65,7 @@ def automata(items: DataFrame, size: int, max_chars: int) -> Iterator[dict[str,
 
 def find(docs: DataFrame, items: DataFrame, *, size: int = SIZE, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The columns of docs, n_words, hits (merged runs: first and last word from 0, start and end in the text) and items (array)."""
+    text_batches(docs.sparkSession)
     out, schema = docs.drop("n_words", "hits", "items"), docs.drop("n_words", "hits", "items").schema
     names, at = schema.fieldNames(), schema.fieldNames().index(text_col)
     ddl = schema.add("n_words", "long").add("hits", SPANS).add("items", ArrayType(StringType()))

@@ -22,16 +22,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, text_batches
 
 SIZE, SHARE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEAR = 5, 75, 128, 24, 12, 3, 2
-#: Regions of more rows are compared in blocks of BLOCK by BLOCK nodes.
-SMALL, BLOCK = 48, 1000
+#: Regions of more rows are compared in blocks of BLOCK by BLOCK shingles, or one node where that has more.
+SMALL, BLOCK = 48, 200_000
 #: Least share of agreeing signature values; at 128 values a pair at 0.75 falls below it once in more than ten million.
 SKETCHED = 0.54
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -122,11 +121,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names=["key", "node"])
 
 
-def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([float((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).mean()) for p, q in zip(x, y)])
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, x, y) whose signatures agree enough, with the share that agrees."""
+    for batch in batches:
+        share = [float((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).mean()) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["a", "b", "alike"])
+        yield out.filter(pa.array([x >= SKETCHED for x in share], pa.bool_()))
 
 
-def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, p, q) whose texts' sets are alike."""
     kept = lru_cache(64)(shingles)  # successive pairs share a text
 
     def one(p: str, q: str) -> bool:
@@ -134,7 +138,11 @@ def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
         both = len(np.intersect1d(s, t, assume_unique=True))
         return 100 * both >= SHARE * (len(s) + len(t) - both)
 
-    return pd.Series([one(p, q) for p, q in zip(x, y)])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            good = [one(p, q) for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _buckets(sig: str = "sig"):
@@ -144,11 +152,11 @@ def _buckets(sig: str = "sig"):
 
 
 def regions(sigs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, root, main, size) of rows of each tree that share its first LEAST_DEPTH values with a node of another
-    component; main is the bucket's most frequent component, size its number of rows."""
-    rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode(_buckets()).alias("bucket"))
+    """(bucket, node, root, n, main, size, total) of rows of each tree that share its first LEAST_DEPTH values with a node of another
+    component; main is the bucket's most frequent component, size its number of rows, total that of their shingles."""
+    rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.explode(_buckets()).alias("bucket"))
     rooted = materialize(rooted, "buckets")
-    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1").drop("kinds")
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum("n").alias("total")).where("kinds > 1").drop("kinds")
     return materialize(rooted.join(held, "bucket"), "mixed")
 
 
@@ -191,10 +199,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
     """Links (a, b) between components in larger regions. Nodes outside the main component meet all the region's nodes in
-    blocks of BLOCK by BLOCK, where full sets are compared at once; pairs themselves are never rows."""
+    blocks of about BLOCK by BLOCK shingles, where full sets are compared at once; pairs themselves are never rows."""
     large = materialize(mixed.where(F.col("size") > SMALL), "large")
     sets = texts_of(large.select("node")).mapInArrow(_sets, "node long, shingles binary")
-    outside = large.where("root <> main").groupBy("bucket").agg(F.count("*").alias("outside"))
+    outside = large.where("root <> main").groupBy("bucket").agg(F.sum("n").alias("outside"))
     rows = large.join(outside, "bucket")
 
     def cut(n: str):
@@ -203,8 +211,8 @@ def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
     def dealt(salt: int, n: str):
         return F.pmod(F.xxhash64(F.lit(salt), "node"), cut(n)).cast("int")
 
-    x = rows.where("root <> main").select("bucket", "node", "root", F.lit(0).alias("side"), dealt(1, "outside").alias("i"), F.explode(F.sequence(F.lit(0), cut("size") - 1)).alias("j"))
-    y = rows.select("bucket", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), cut("outside") - 1)).alias("i"), dealt(2, "size").alias("j"))
+    x = rows.where("root <> main").select("bucket", "node", "root", F.lit(0).alias("side"), dealt(1, "outside").alias("i"), F.explode(F.sequence(F.lit(0), cut("total") - 1)).alias("j"))
+    y = rows.select("bucket", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), cut("outside") - 1)).alias("i"), dealt(2, "total").alias("j"))
     met = x.unionByName(y).join(sets, "node")
     return met.groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
 
@@ -231,6 +239,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
+    text_batches(docs.sparkSession)
     ident = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t")]
     sketched = materialize(docs.select(ident[0], text_col, ident[1]).mapInArrow(_sketch, "doc_id long, t long, n long, k1 long, k2 long, sig binary"), "sketches")
     sets = sketched.where("n > 0 and doc_id is not null")
@@ -240,15 +249,15 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = nodes.groupBy("head.doc_id").agg(F.min("head.t").alias("own"))
     nodes = nodes.select(*key, "head", F.col("head.doc_id").alias("doc_id")).join(first, "doc_id")
     nodes = nodes.select(*key, "head", F.when(F.col("head.t") == F.col("own"), F.col("doc_id")).otherwise(F.shiftrightunsigned("k1", 2) + F.lit(1 << 62)).alias("node"))
-    member = materialize(sets.join(nodes, key).select("doc_id", "node", F.when(F.struct("doc_id", "t") == F.col("head"), F.struct("t", "sig")).alias("at")), "members")
-    heads = materialize(member.where("at is not null").select("node", "doc_id", "at.t", "at.sig").dropDuplicates(["node"]), "signatures")
-    member, sigs = member.select("doc_id", "node"), heads.select("node", "sig")
-    rows = sigs.mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    member = materialize(sets.join(nodes, key).select("doc_id", "node", F.when(F.struct("doc_id", "t") == F.col("head"), F.struct("t", "sig", "n")).alias("at")), "members")
+    heads = materialize(member.where("at is not null").select("node", "doc_id", "at.t", "at.sig", "at.n").dropDuplicates(["node"]), "signatures")
+    member, sigs = member.select("doc_id", "node"), heads.select("node", "sig", "n")
+    rows = sigs.select("node", "sig").mapInArrow(_forest, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = rows.mapInArrow(_neighbours, "a long, b long").distinct()
-    x, y = sigs.withColumnsRenamed({"node": "a", "sig": "x"}), sigs.withColumnsRenamed({"node": "b", "sig": "y"})
+    x, y = sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("y"))
 
     def agreeing(some: DataFrame) -> DataFrame:
-        return some.join(x, "a").join(y, "b").withColumn("alike", F.pandas_udf(_alike, "double")("x", "y")).where(F.col("alike") >= SKETCHED).select("a", "b", "alike")
+        return some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long, alike double")
 
     def texts_of(some: DataFrame) -> DataFrame:
         needed = (some.select(F.explode(F.array("a", "b")).alias("node")) if "a" in some.columns else some).distinct()
@@ -262,7 +271,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def confirmed(some: DataFrame, texts: DataFrame = texts) -> DataFrame:
         p, q = texts.select(F.col("node").alias("a"), F.col("text").alias("p")), texts.select(F.col("node").alias("b"), F.col("text").alias("q"))
-        return some.join(p, "a").join(q, "b").where(F.pandas_udf(_linked, "boolean")("p", "q")).select("a", "b")
+        return some.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_linked, "a long, b long")
 
     links = materialize(confirmed(best), "links")
     roots = components(links)
