@@ -2,8 +2,10 @@
 
 Matches come from the text split at them, so starts are sums of lengths (code points). For strings of secret-like
 characters, the largest Shannon entropy of any window of 20 characters is kept up by incremental counts: each step
-adds one character's count and takes one away. Strings on the allow list (one case of letters only, UUIDs, words
-joined by signs, rows of one sign) add no span. A null text counts as empty; every row gives one row.
+adds one character's count and takes one away. Strings on the allow list (one case of letters only, digits only, UUIDs,
+words that are joined by signs or by capitals, rows of one sign) add no span. Patterns repeat single signs only, never
+groups, so their depth doesn't grow with the text. A null text counts as empty; every row gives one row; columns named
+base or spans are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ PATTERNS = [
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits by class: what the string is made of.
 CLASSES = [("hex digits", r"^[0-9A-Fa-f]+$", 3.0), ("letters and digits", r"^[A-Za-z0-9]+$", 3.6), ("base 64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
-ALLOWED = [r"^[a-z+/_=-]+$", r"^[A-Z+/_=-]+$", r"^[A-Z]?[a-z]+([+/_=-][A-Z]?[a-z]+)*$", r"^[0-9+/_=-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.)\1+$"]
+HEX4 = "[0-9a-fA-F]{4}"
+ALLOWED = [r"^[a-z+/_=-]+$", r"^[A-Z+/_=-]+$", r"^[0-9+/_=-]+$", f"^{HEX4}{HEX4}-{HEX4}-{HEX4}-{HEX4}-{HEX4}{HEX4}{HEX4}$", r"^(.)\1+$"]
+#: Words: letters and signs, where none of the second stands: a capital that two small letters don't follow, or signs side by side.
+WORDS = (r"^[A-Za-z+/_=-]+$", r"[A-Z]([^a-z]|.?$|.[^a-z])|[+/_=-][+/_=-]")
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
@@ -44,25 +49,32 @@ def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
+def _signs(word: Column) -> Column:
+    return F.slice(F.split(word, "(?!^)"), 1, F.length(word))  # the split ends with an empty string
+
+
 def peak_entropy(word: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of window consecutive characters of an ASCII string at least that long."""
-    codes = F.transform(F.split(word, "(?!^)"), F.ascii)
+    codes = F.transform(_signs(word), F.ascii)
 
     def own(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = acc["codes"][i], F.when(i >= window, acc["codes"][i - window]).otherwise(-1)
-        a = acc["n"][new]
-        grown = F.transform(acc["n"], lambda n, k: n + F.when(k == new, 1).otherwise(0))
-        b = F.when(old >= 0, F.get(grown, old)).otherwise(0)
+    def many(acc: Column, c: Column) -> Column:
+        return F.size(F.filter(acc["w"], lambda x: x == c))
+
+    def step(acc: Column, new: Column) -> Column:
+        full = F.size(acc["w"]) >= window
+        old = F.when(full, F.get(acc["w"], F.lit(0))).otherwise(-1)
+        a = many(acc, new)
+        b = F.when(full, many(acc, old) + (old == new).cast("int")).otherwise(0)
         s = acc["s"] - own(a) + own(a + 1) - own(b) + own(F.greatest(b - 1, F.lit(0)))
-        left = F.transform(grown, lambda n, k: n - F.when(k == old, 1).otherwise(0))
-        h = F.when(i >= window - 1, F.log2(F.lit(float(window))) - s / window).otherwise(0.0)
-        return F.struct(left.alias("n"), s.alias("s"), F.greatest(acc["best"], h).alias("best"), acc["codes"].alias("codes"))
+        w = F.concat(F.when(full, F.slice(acc["w"], 2, window - 1)).otherwise(acc["w"]), F.array(new))
+        h = F.when(F.size(w) >= window, F.log2(F.lit(float(window))) - s / window).otherwise(0.0)
+        return F.struct(w.alias("w"), s.alias("s"), F.greatest(acc["best"], h).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), codes.alias("codes"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step, lambda acc: acc["best"])
+    start = F.struct(F.array().cast("array<int>").alias("w"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    return F.aggregate(codes, start, step, lambda acc: acc["best"])
 
 
 def suspicious(word: Column) -> Column:
@@ -70,9 +82,10 @@ def suspicious(word: Column) -> Column:
     allowed = F.lit(False)
     for p in ALLOWED:
         allowed = allowed | word.rlike(p)
+    allowed = allowed | (word.rlike(WORDS[0]) & ~word.rlike(WORDS[1]))
     least = F.coalesce(*[F.when(word.rlike(p), v) for _, p, v in CLASSES])
-    mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
-    return F.when(allowed | ~mixed, False).otherwise(peak_entropy(word) >= least)
+    kinds = F.size(F.array_distinct(_signs(word)))  # n kinds of signs hold log2(n) bits at most
+    return F.when(allowed | (F.log2(kinds) < least - 1e-9), False).otherwise(peak_entropy(word) >= least)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,8 +93,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = [_spans(text, p, g, n, kind, i) for i, (kind, p, g, n) in enumerate(PATTERNS)]
     more = _spans(text, CANDIDATE, 0, WINDOW, "entropy", len(PATTERNS), suspicious)
-    out = docs.withColumns({"base": F.array_sort(F.concat(*found)), "more": more})
-    return out.withColumn("spans", F.array_sort(F.concat("base", "more"))).drop("more")
+    base = F.array_sort(F.concat(*found))
+    return docs.withColumns({"base": base, "spans": F.array_sort(F.concat(base, more))})
 
 
 def _of(kind: str) -> Column:
