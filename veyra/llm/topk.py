@@ -1,10 +1,12 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Candidates are sorted into document-range blocks with a maximum and a minimum for each term. For each query the blocks
-are taken in order of their bounds (the summed best products of the query's weights with the blocks' extremes) and
-scored through the block's forward index, until the next bound cannot change the k-th hit. Blocks are files in the
-shared folder, so tasks fetch what their bounds ask for and lost executors lose nothing. Vectors that are null, of
-another length than most, or hold null or non-finite components take no part, nor do rows without vec_id.
+Candidates are sorted, and runs of block_rows of them are the document-range blocks, each with a maximum and a minimum for
+each term; runs of blocks make a tier above. For each query, tiers and blocks are taken in order of their bounds (the
+summed best products of the query's weights with the extremes) and blocks are scored through their forward index, until
+the next bound cannot change the k-th hit. A task reads the bounds of all tiers, and of the blocks of those tiers that a
+bound asks for. Blocks are files in the shared folder, so lost executors lose nothing. Vectors that are null or empty, of
+another length than most, or hold null or non-finite components take no part, nor do rows without vec_id. Extra columns
+are ignored; equal vec_ids are rows of their own, none of which is its own hit.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
+HITS = "query_id long, rank int, vec_id long, score long"
+
 
 def _store(uri: str):
     from pyarrow import fs
@@ -25,75 +29,130 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 20, block_rows: int = 2048, query_rows: int = 256) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, block_rows: int = 1024, tier_blocks: int = 8, query_rows: int = 256, cached: int = 64) -> DataFrame:
     """vectors: vec_id, v (array<double> of whole numbers). Each query's k best: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     path = shared_dir(spark, "blocks")
-    ordered = f"{path}/rows"
+    sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = vectors.where(F.coalesce(sound, F.lit(False)))
+    lengths = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    if not lengths:
+        return spark.createDataFrame([], HITS)
+    vectors, n = vectors.where(F.size("v") == lengths[0]["n"]), lengths[0]["c"]
     signs = F.array_join(F.transform(F.slice("v", 1, 12), lambda x: F.when(x > 0, "1").otherwise("0")), "")
-    n = vectors.count()
-    vectors.withColumn("near", signs).repartitionByRange(max(1, -(-n // block_rows)), "near", "vec_id").sortWithinPartitions("near", "vec_id").write.parquet(ordered)
-    rows = spark.read.parquet(ordered)
+    rows = vectors.select("vec_id", "v", is_query.alias("asks"), signs.alias("near"))
+    ordered = rows.repartitionByRange(max(1, -(-n // (block_rows * tier_blocks))), "near", "vec_id").sortWithinPartitions("near", "vec_id")
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition is a run of the order: its blocks, and one tier of their bounds for each tier_blocks of them."""
         import io
         import os
 
-        got = [f for f in frames if len(f)]
-        if got:
-            f = pd.concat(got)
-            m, ids = np.array(f["v"].tolist(), dtype=np.float64), f["vec_id"].to_numpy(dtype=np.int64)
-            store, base = _store(path)
+        store, base = _store(path)
+        store.create_dir(f"{base}/index", recursive=True)
+
+        def write(**arrays) -> str:
             name = f"{os.urandom(12).hex()}.npz"
-            store.create_dir(f"{base}/index", recursive=True)
+            np.savez(held := io.BytesIO(), **arrays)
             with store.open_output_stream(f"{base}/index/{name}") as out:
-                np.savez(held := io.BytesIO(), m=m, ids=ids)
                 out.write(held.getvalue())
-            yield pd.DataFrame({"block": [name], "hi": [m.max(0).tolist()], "lo": [m.min(0).tolist()], "least": [int(ids.min())]})
+            return name
+
+        def blocks() -> Iterator[tuple]:
+            left: list[pd.DataFrame] = []
+            for f in frames:
+                left.append(f)
+                while sum(map(len, left)) >= block_rows:
+                    whole = pd.concat(left)
+                    yield whole.iloc[:block_rows]
+                    left = [whole.iloc[block_rows:]]
+            if sum(map(len, left)):
+                yield pd.concat(left)
+
+        tier: list[tuple] = []
+
+        def tiers() -> pd.DataFrame:
+            names, hi, lo, least = zip(*tier)
+            hi, lo = np.array(hi), np.array(lo)
+            name = write(names=np.array(names), hi=hi, lo=lo, least=np.array(least))
+            return pd.DataFrame({"tier": [name], "hi": [hi.max(0).tolist()], "lo": [lo.min(0).tolist()], "least": [int(min(least))]})
+
+        for f in blocks():
+            m, ids = np.array(f["v"].tolist(), dtype=np.float64), f["vec_id"].to_numpy(dtype=np.int64)
+            tier.append((write(m=m, ids=ids), m.max(0), m.min(0), int(ids.min())))
+            if len(tier) == tier_blocks:
+                yield tiers()
+                tier.clear()
+        if tier:
+            yield tiers()
 
-    made = rows.select("vec_id", "v")
-    made.mapInPandas(put, "block string, hi array<double>, lo array<double>, least long").write.parquet(f"{path}/bounds")
-    queries = rows.where(is_query).select("vec_id", "v", "near").repartitionByRange(max(1, -(-n // (20 * query_rows))), "near", "vec_id").select("vec_id", "v")
+    ordered.select("vec_id", "v").mapInPandas(put, "tier string, hi array<double>, lo array<double>, least long").write.parquet(f"{path}/bounds")
+    queries = rows.where("asks").repartitionByRange(max(1, -(-n // (20 * query_rows))), "near", "vec_id").select("vec_id", "v")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import heapq
         import io
+        from collections import defaultdict
+        from functools import lru_cache
 
         import pyarrow.parquet as pq
 
         store, base = _store(path)
-        bounds = None
+        top = pq.read_table(f"{base}/bounds", filesystem=store).to_pydict()
+        top_hi, top_lo = np.array(top["hi"]), np.array(top["lo"])
+
+        @lru_cache(cached)
+        def load(name: str) -> dict:
+            with store.open_input_stream(f"{base}/index/{name}") as src:
+                return dict(np.load(io.BytesIO(src.read())))
+
+        def bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+            return np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+
         for f in frames:
             for start in range(0, len(f), query_rows):
                 part = f.iloc[start : start + query_rows]
-                if bounds is None:
-                    bounds = pq.read_table(f"{base}/bounds", filesystem=store).to_pydict()
-                    hi, lo, least = np.array(bounds["hi"]), np.array(bounds["lo"]), np.array(bounds["least"])
                 q, own = np.array(part["v"].tolist(), dtype=np.float64), part["vec_id"].to_numpy(dtype=np.int64)
-                most = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
-                best = np.full((len(q), k), -np.inf)
-                ids = np.full((len(q), k), np.iinfo(np.int64).max)
-                for b in np.argsort(-most.max(0), kind="stable"):
-                    live = np.flatnonzero((most[:, b] > best[:, -1]) | ((most[:, b] == best[:, -1]) & (least[b] < ids[:, -1])))
-                    if not len(live):
-                        continue
-                    with store.open_input_stream(f"{base}/index/{bounds['block'][b]}") as src:
-                        got = np.load(io.BytesIO(src.read()))
-                    s = q[live] @ got["m"].T
-                    s[own[live][:, None] == got["ids"][None, :]] = -np.inf
-                    for r, i in enumerate(live):
-                        c = np.flatnonzero(s[r] >= max(best[i, -1], -1e300))
-                        if len(c):
-                            v, d = np.concatenate([best[i], s[r][c]]), np.concatenate([ids[i], got["ids"][c]])
-                            keep = np.lexsort((d, -v))[:k]
-                            best[i], ids[i] = v[keep], d[keep]
+                best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+                # for each query, what may still hold a hit, highest bound first: (-bound, least id, is a block, name)
+                heaps = [[(-b, least, False, t) for b, least, t in zip(row, top["least"], top["tier"])] for row in bounds(q, top_hi, top_lo).tolist()]
+                for h in heaps:
+                    heapq.heapify(h)
+                while True:
+                    asked = defaultdict(list)  # each query's next one: its own order, loaded once for all that ask
+                    for i, h in enumerate(heaps):
+                        while h and (-h[0][0] < best[i, -1] or -h[0][0] == best[i, -1] and h[0][1] >= ids[i, -1]):
+                            if -h[0][0] < best[i, -1]:
+                                h.clear()
+                            else:
+                                heapq.heappop(h)
+                        if h:
+                            asked[heapq.heappop(h)[2:]].append(i)
+                    if not asked:
+                        break
+                    for (block, name), live in asked.items():
+                        got = load(name)
+                        if not block:
+                            for i, row in zip(live, bounds(q[live], got["hi"], got["lo"]).tolist()):
+                                for b, least, inner in zip(row, got["least"].tolist(), got["names"].tolist()):
+                                    heapq.heappush(heaps[i], (-b, least, True, inner))
+                            continue
+                        s = q[live] @ got["m"].T
+                        s[own[live][:, None] == got["ids"][None, :]] = -np.inf
+                        for r, i in enumerate(live):
+                            c = np.flatnonzero(s[r] >= max(best[i, -1], -1e300))
+                            if len(c):
+                                v, d = np.concatenate([best[i], s[r][c]]), np.concatenate([ids[i], got["ids"][c]])
+                                keep = np.lexsort((d, -v))[:k]
+                                best[i], ids[i] = v[keep], d[keep]
                 r, c = np.nonzero(np.isfinite(best))
                 yield pd.DataFrame({"query_id": own[r], "rank": (c + 1).astype(np.int32), "vec_id": ids[r, c], "score": best[r, c].astype(np.int64)})
 
-    return queries.mapInPandas(run, "query_id long, rank int, vec_id long, score long")
+    return queries.mapInPandas(run, HITS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("double"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size("embedding") > 0))
+    rows = table(spark, sf_dir, "embeddings").where(F.coalesce(sound, F.lit(False)))
     return search(rows.select("vec_id", v.alias("v")), F.col("vec_id") % 20 == 0)
