@@ -5,8 +5,8 @@ so a word with inserted or missing characters stays near the insult it hides. Ny
 labelled toxic sentences; a word's features are its kernel values with them, whitened by the landmarks' own kernel, and
 a linear SVM trained on words of labelled sentences gives it a margin. A text's score is the logistic of its largest
 margin over words and over runs of spaced-out letters. Distinct words are scored once a task, in a cache of bounded
-size. Null and empty texts score as a text without signs. Training reads a bounded sample of labelled rows
-(MAX_LABELLED, by hash of the id); every text is scored whole.
+size. Null and empty texts score as a text without signs. Training reads a bounded sample of labelled rows and of their
+words, as fit() says; every text is scored whole. A column named score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table, text_batches
 
-P, DECAY, LONGEST, LANDMARKS, MAX_LABELLED, CACHE_WORDS = 3, 0.5, 24, 32, 6000, 400_000
+P, DECAY, LONGEST, LANDMARKS, MAX_LABELLED, MAX_WORDS, CACHE_WORDS = 3, 0.5, 24, 32, 6000, 10_000, 400_000
 WORD = re.compile(r"[^\W_]+(?:[.\-_*'][^\W_]+)*")
 
 
@@ -127,8 +127,10 @@ def _signs(texts: list[tuple[tuple[str, ...], int]]) -> tuple[list[str], Counter
     return picked, bad, good
 
 
-def train(rows: list[tuple[str | None, int]]) -> Machine:
-    """From labelled texts. Without both labels, a machine that finds nothing."""
+def train(rows: list[tuple[str | None, int]], max_words: int = MAX_WORDS) -> Machine:
+    """From labelled texts, without a cut between texts: see cut(). Without both labels, a machine that finds nothing. The
+    machine learns from max_words words at most: two fifths of them toxic, three tenths clean ones nearest to a landmark
+    (of twice max_words drawn), the rest clean ones drawn from all."""
     once: dict[str, str] = {}  # one string for each distinct word: the driver's memory
     texts = [(tuple(once.setdefault(w, w) for w in units(t)), y) for t, y in rows]
     once.clear()
@@ -137,9 +139,9 @@ def train(rows: list[tuple[str | None, int]]) -> Machine:
         return Machine(["none"], np.zeros(1, np.float32), -1.0)
     rng = np.random.default_rng(7)
     positive = sorted({w for w in bad if any(s in w for s in landmarks)})
-    positive = [positive[i] for i in rng.permutation(len(positive))[:4000]]
+    positive = [positive[i] for i in rng.permutation(len(positive))[: 2 * max_words // 5]]
     clean = sorted(w for w in good if not any(s in w for s in landmarks))
-    negative = sorted({*features_top(clean, landmarks), *(clean[i] for i in rng.permutation(len(clean))[:3000])})
+    negative = sorted({*features_top(clean, landmarks, 3 * max_words // 10, 2 * max_words), *(clean[i] for i in rng.permutation(len(clean))[: 3 * max_words // 10])})
     hidden = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in landmarks if len(w) > 4 for c in "xq"]  # an inserted character
     words = [*positive, *landmarks, *hidden, *negative]
     y = np.array([1.0] * (len(words) - len(negative)) + [-1.0] * len(negative))
@@ -158,34 +160,53 @@ def train(rows: list[tuple[str | None, int]]) -> Machine:
             break
         w = new
     machine = Machine(landmarks, (white @ w[:-1]).astype(np.float32), float(w[-1]))
-    toxic, fine = [t for t, label in texts if label][:600], [t for t, label in texts if not label][:1500]
-    every = sorted(set().union(*toxic, *fine))
-    margin = dict(zip(every, machine.margins(every).tolist()))
-    most = sorted([(max((margin[w] for w in t), default=-1.0), 1) for t in toxic] + [(max((margin[w] for w in t), default=-1.0), 0) for t in fine])
-    errors = best = len(fine)  # a threshold below all: every clean text is wrong
-    cut = most[0][0] - 1
+    return machine
+
+
+def cut(machine: Machine, margins: list[tuple[float, int]]) -> Machine:
+    """Moves the machine's bias to where fewest texts of (largest margin, label) are wrong, halfway between two of them."""
+    most = sorted(margins)
+    if not most or len({y for _, y in most}) < 2:
+        return machine
+    errors = best = sum(not y for _, y in most)  # a threshold below all: every clean text is wrong
+    at = most[0][0] - 1
     for (m, label), (after, _) in zip(most, [*most[1:], (most[-1][0] + 1, 0)]):
         errors += 1 if label else -1
         if errors < best and after > m:
-            best, cut = errors, (m + after) / 2
-    machine.bias -= cut
+            best, at = errors, (m + after) / 2
+    machine.bias -= at
     return machine
 
 
-def features_top(words: list[str], landmarks: list[str], n: int = 3000) -> list[str]:
-    """Clean words nearest to any landmark: hard negatives, from a bounded sample of words."""
-    words = [words[i] for i in np.random.default_rng(5).permutation(len(words))[:20_000]]
+def features_top(words: list[str], landmarks: list[str], n: int, drawn: int) -> list[str]:
+    """The n clean words nearest to any landmark, of drawn ones: hard negatives."""
+    words = [words[i] for i in np.random.default_rng(5).permutation(len(words))[:drawn]]
     best = np.concatenate([features(words[i : i + 512], landmarks).max(axis=1) for i in range(0, len(words), 512)]) if words else np.empty(0)
     return [words[i] for i in np.argsort(-best)[:n]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> Machine:
-    """Learns from labelled rows that aren't held out, max_labelled of each label at most."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> Machine:
+    """Learns from labelled rows that aren't held out: max_labelled clean ones and a third as many toxic ones at most, drawn
+    by hash of the id; an id with both labels is toxic. Texts of all drawn rows set the cut between texts."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(max_labelled // 3).unionByName(ids.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(max_labelled))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
-    return train([(r[0], r[1]) for r in rows])
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "labelled")
+    machine = train([(r[0], r[1]) for r in rows.orderBy("doc_id").select("text", "toxic").collect()], max_words)
+    margins = rows.select("text", "toxic").mapInArrow(_margins(machine), "margin double, toxic int").collect()
+    return cut(machine, [(r[0], r[1]) for r in margins])
+
+
+def _margins(machine: Machine):
+    """The largest margin of each row's text, and its label."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [units(t) for t in batch.column(0).to_pylist()]
+            new = sorted(set().union(*texts))
+            margin = dict(zip(new, machine.margins(new).tolist() if new else ()))
+            yield pa.RecordBatch.from_arrays([pa.array([max((margin[w] for w in t), default=-1.0) for t in texts], pa.float64()), batch.column(1)], names=["margin", "toxic"])
+
+    return run
 
 
 def held_out(column: str):
@@ -194,6 +215,7 @@ def held_out(column: str):
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1)."""
+    text_batches(docs.sparkSession)
     schema = docs.drop("score").schema
     names, at = schema.fieldNames(), schema.fieldNames().index(text_col)
 
