@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, text_batches
 
 LENGTH, K, CHUNK, BUCKET = 200, 50, 1 << 20, 1 << 16
+#: An anchor at so many places is split by the bytes beside it.
+HOT = 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,6 +134,24 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield put(keys, parts)
 
 
+def _split(data: bytes, h: int, a: int, span: int, off: int, hot: bool) -> list[tuple[int, int, int]]:
+    """(bucket, first and last start) of a place's strings. Those of a hot anchor go by the bytes that all of them hold
+    besides it: strings that start at most half a free length before the anchor hold what follows it, the others what
+    stands before. Equal strings start as far before the anchor, so they still meet."""
+    if not hot:
+        return [(h, 0, span)]
+    half = (LENGTH - K) // 2
+    edge = off - half  # starts from here on hold LENGTH - half bytes from the anchor on
+    out = []
+    if edge <= span:
+        beside = data[a + off : a + off + LENGTH - half]
+        out.append((int.from_bytes(hashlib.blake2b(beside, digest_size=8).digest(), "little", signed=True), max(0, edge), span))
+    if edge > 0:
+        beside = data[a + edge - 1 : a + off + K]  # the last start before the edge: all earlier ones hold these too
+        out.append((int.from_bytes(hashlib.blake2b(b"-" + beside, digest_size=8).digest(), "little", signed=True), 0, min(span, edge - 1)))
+    return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text, spots): the bytes around each spot of anchors that stand more than once."""
     rows: list[tuple] = []
@@ -142,7 +162,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = text.encode()
-            rows.extend((key, s["h"], s["a"], s["fit"] & 255, s["fit"] >> 8, data[s["a"] : s["a"] + (s["fit"] & 255) + LENGTH]) for s in spots)
+            for s in spots:
+                a, span, off = s["a"], s["fit"] & 255, s["fit"] >> 8
+                rows.extend((key, h, a + lo, hi - lo, off - lo, data[a + lo : a + hi + LENGTH]) for h, lo, hi in _split(data, s["h"], a, span, off, s["hot"]))
             if len(rows) >= 5000:
                 yield put()
                 rows.clear()
@@ -192,14 +214,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"))
     long = rows.where(F.octet_length("text") >= LENGTH).select("key", "text")
     marks = materialize(long.mapInArrow(_marks, "key binary, h long, a long, fit int"), "marks")
     # two places at least: copies of a text give one place, and the hash of a place tells them apart
     place = F.xxhash64("key", "a")
-    common = marks.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("h")
-    spots = materialize(marks.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "a", "fit")).alias("spots")), "spots")
+    common = marks.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q"), (F.count("*") >= HOT).alias("hot")).where("p < q").select("h", "hot")
+    common = materialize(common, "common")  # so that the adaptive join splits a hot anchor's marks
+    spots = materialize(marks.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "a", "fit", "hot")).alias("spots")), "spots")
     # texts are shuffled twice only: here, copies merged in each task before, and for the result
     heads = long.dropDuplicates(["key"]).join(spots, "key").select("key", "text", "spots")
     pieces = materialize(heads.mapInArrow(_pieces, "key binary, h long, a long, span long, off long, piece binary"), "pieces")
