@@ -3,7 +3,7 @@
 Each record is a gzip member whose header has an extra field "SL" with the member's compressed length. The reader plans
 partitions of files, takes record-type and header predicates, inflates a member's start for its headers, and skips
 the rest of members that the predicates or the asked-for columns don't need. A file without such fields is read
-through. Files appear under their final names on commit only, so lost executors and second attempts leave no records.
+through. The writer begins a new archive after maxFileBytes, so no file, which one task reads, grows with its partition. Files appear under their final names on commit only, so lost executors and second attempts leave no records.
 Null html is an empty payload; rows with a null page_id have no such header and are responses.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from .common import shared_dir, table
 
@@ -60,7 +60,7 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: list
 
 
 class WarcSource(DataSource):
@@ -80,34 +80,38 @@ class WarcSource(DataSource):
 
 class WarcWriter(DataSourceWriter):
     def __init__(self, options):
-        self.uri, self.level = options["path"], int(options.get("level", 1))
+        self.uri, self.level, self.most = options["path"], int(options.get("level", 1)), int(options.get("maxfilebytes", options.get("maxFileBytes", 1 << 28)))
 
     def write(self, rows) -> Written:
         import os
 
         fs, base = store(self.uri)
-        name, out = f"{os.urandom(12).hex()}.warc.gz", None
+        names, out, size = [], None, 0
         for row in rows:
             if out is None:
+                names.append(f"{os.urandom(12).hex()}.warc.gz")
                 fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(f"{base}/_{name}", compression=None)
-            out.write(record(row.asDict(), self.level))
+                out, size = fs.open_output_stream(f"{base}/_{names[-1]}", compression=None), 0
+            data = record(row.asDict(), self.level)
+            out.write(data)
+            size += len(data)
+            if size >= self.most:
+                out.close()
+                out = None
         if out is not None:
             out.close()
-        return Written(name if out is not None else None)
+        return Written(names)
 
     def commit(self, messages) -> None:
         fs, base = store(self.uri)
         fs.create_dir(base, recursive=True)
-        for m in messages:
-            if m and m.name:
-                fs.move(f"{base}/_{m.name}", f"{base}/{m.name}")
+        for name in [n for m in messages if m for n in m.names]:
+            fs.move(f"{base}/_{name}", f"{base}/{name}")
 
     def abort(self, messages) -> None:
         fs, base = store(self.uri)
-        for m in messages:
-            if m and m.name:
-                fs.delete_file(f"{base}/_{m.name}")
+        for name in [n for m in messages if m for n in m.names]:
+            fs.delete_file(f"{base}/_{name}")
 
 
 class WarcReader(DataSourceReader):
@@ -116,8 +120,15 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
-                self.filters.append((HEADERS[f.attribute[0]], str(f.value)))
+            known = len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in HEADERS
+            if known and isinstance(f, EqualTo):
+                self.filters.append((HEADERS[f.attribute[0]], {str(f.value)}, False))
+            elif known and isinstance(f, In):
+                self.filters.append((HEADERS[f.attribute[0]], {str(v) for v in f.value if v is not None}, False))
+            elif known and isinstance(f, StringStartsWith):
+                self.filters.append((HEADERS[f.attribute[0]], f.value, True))
+            elif known and isinstance(f, IsNotNull):
+                self.filters.append((HEADERS[f.attribute[0]], "", True))
             else:
                 yield f
 
@@ -143,7 +154,7 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as src:
                 for head, body in members(src, plain=path.endswith(".warc")):
-                    if any(head.get(k) != v for k, v in self.filters):
+                    if any(k not in head or (not head[k].startswith(v) if prefix else head[k] not in v) for k, v, prefix in self.filters):
                         continue
                     got = self.row(head, body)
                     for c in self.wanted:
