@@ -144,7 +144,9 @@ def test_toxicity(spark):
     rng = np.random.default_rng(1)
     clean = [" ".join(rng.choice(words, 12)) for _ in range(60)]
     bad = [" ".join([*rng.choice(words, 6), "numbskull", *rng.choice(words, 6)]) for _ in range(20)]
-    machine = toxicity.train([(t, 0) for t in clean] + [(t, 1) for t in bad])
+    rows = [(t, 0) for t in clean] + [(t, 1) for t in bad]
+    machine = toxicity.train(rows)
+    machine = toxicity.cut(machine, [(max(machine.margins(sorted(toxicity.units(t)))), y) for t, y in rows])
     texts = ["river numbskull stone", "river n.u.m.b.s.k.u.l.l stone", "river numbxskull stone", "river n u m b s k u l l stone", "river stone cloud", "", None]
     got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine).orderBy("doc_id").collect()
     assert [r["score"] >= 0.5 for r in got] == [True, True, True, True, False, False, False]
