@@ -14,9 +14,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends, and lost executors take nothing along."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends, and lost executors take nothing along. rows,
+    where about known, keeps small tables in few files: one for each million rows, eight at least."""
     path = shared_dir(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(8 + rows // 1_000_000)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -155,7 +155,6 @@ def regions(sigs: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, node, root, n, main, size, total) of rows of each tree that share its first LEAST_DEPTH values with a node of another
     component; main is the bucket's most frequent component, size its number of rows, total that of their shingles."""
     rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.explode(_buckets()).alias("bucket"))
-    rooted = materialize(rooted, "buckets")
     held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum("n").alias("total")).where("kinds > 1").drop("kinds")
     return materialize(rooted.join(held, "bucket"), "mixed")
 
@@ -200,7 +199,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
     """Links (a, b) between components in larger regions. Nodes outside the main component meet all the region's nodes in
     blocks of about BLOCK by BLOCK shingles, where full sets are compared at once; pairs themselves are never rows."""
-    large = materialize(mixed.where(F.col("size") > SMALL), "large")
+    large = mixed.where(F.col("size") > SMALL)
     sets = texts_of(large.select("node")).mapInArrow(_sets, "node long, shingles binary")
     outside = large.where("root <> main").groupBy("bucket").agg(F.sum("n").alias("outside"))
     rows = large.join(outside, "bucket")
@@ -222,6 +221,7 @@ def components(links: DataFrame) -> DataFrame:
     row is one pair for each neighbour, and minima are summed before the shuffle."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, seen = materialize(edges, "edges"), None
+    count = edges.count()
     while True:  # ends when a round changes nothing
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -229,11 +229,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small, "edges")
+        edges = materialize(small, "edges", count)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, count = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
