@@ -1,10 +1,14 @@
-"""Normal and Student t distributions in plain Python, for a few aggregated rows on the driver."""
+"""Normal and Student t distributions and the signed-rank test in plain Python, for aggregated rows."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 NORMAL = NormalDist()
 
 
@@ -54,3 +58,41 @@ def t_ppf(p: float, df: float) -> float:
 
 def two_sided_p(t: float, df: float) -> float:
     return 2 * t_cdf(-abs(t), df)
+
+
+def wilcoxon(differences: list[float]) -> tuple[float, float]:
+    """The signed-rank statistic (the smaller rank sum, zeros left out) and its two-sided p: exact up to 50 differences
+    without ties, else the normal approximation with the tie correction."""
+    d = [x for x in differences if x]
+    if not d:
+        return math.nan, math.nan
+    sizes = sorted(abs(x) for x in d)
+    rank = {v: (sizes.index(v) * 2 + sizes.count(v) + 1) / 2 for v in set(sizes)}
+    plus = sum(rank[abs(x)] for x in d if x > 0)
+    n = len(d)
+    low = min(plus, n * (n + 1) / 2 - plus)
+    if n <= 50 and len(rank) == n and n == len(differences):
+        ways = [1] + [0] * (n * (n + 1) // 2)  # subsets of 1..n by their sum
+        for k in range(1, n + 1):
+            for s in range(len(ways) - 1, k - 1, -1):
+                ways[s] += ways[s - k]
+        return low, min(1.0, 2 * sum(ways[: int(low) + 1]) / 2**n)
+    ties = sum(c**3 - c for c in (sizes.count(v) for v in rank))
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return low, (2 * NORMAL.cdf((low - n * (n + 1) / 4) / sd) if sd else math.nan)
+
+
+def _each(f):
+    """f on rows of two columns; NULL or NaN gives NaN. Meant for aggregated rows: a Pandas UDF."""
+    def over(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([math.nan if pd.isna(x) or pd.isna(y) else f(float(x), float(y)) for x, y in zip(a, b)], dtype=float)
+
+    return over
+
+
+def t_quantile(p: Column, df: Column) -> Column:
+    return F.nanvl(F.pandas_udf(_each(t_ppf), "double")(p.cast("double"), df.cast("double")), F.lit(None).cast("double"))
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    return F.nanvl(F.pandas_udf(_each(two_sided_p), "double")(t.cast("double"), df.cast("double")), F.lit(None).cast("double"))

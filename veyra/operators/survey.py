@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veyra.functions.dist import t_quantile
+
+from .ordered import counted, cumulate, join_on, quantiles
+
 
 def finite(x: Column) -> Column:
     """NULL for NaN and infinities."""
@@ -21,6 +25,34 @@ def categorize(x: Column, cuts: Sequence[float], labels: Sequence[str]) -> Colum
     return out.when(x.isNotNull(), labels[-1])
 
 
+def pv_categories(df: DataFrame, template: str, m: int, cuts: Sequence[float], labels: Sequence[str]) -> DataFrame:
+    """Adds cat_pv1 to cat_pvM, replacing any before; template names the plausible values, as PV{i}MATH."""
+    names = [template.format(i=i) for i in range(1, m + 1)]
+    if gone := [n for n in names if n not in df.columns]:
+        raise KeyError(f"plausible values not in the table: {gone}")
+    return df.drop(*[c for c in df.columns if c.startswith("cat_pv")]).withColumns({f"cat_pv{i}": categorize(F.col(f"`{n}`"), cuts, labels) for i, n in enumerate(names, 1)})
+
+
+def task_rows(df: DataFrame, category: str, negative: str, positive: str) -> DataFrame:
+    """Rows of the two categories of a task, with y."""
+    return df.where(F.col(category).isin(negative, positive)).withColumn("y", task_label(F.col(category), negative, positive))
+
+
+def legacy_category(scores: Sequence[Column], cuts: Sequence[float], labels: Sequence[str]) -> Column:
+    """Categories of the mean of plausible values with the cuts inside the lower class; for audits of reclassification only."""
+    mean = sum(scores[1:], scores[0]) / len(scores)
+    out = F.when(mean <= cuts[0], labels[0])
+    for cut, label in zip(cuts[1:], labels[1:]):
+        out = out.when(mean <= cut, label)
+    return out.when(mean.isNotNull(), labels[-1])
+
+
+def missing_count(columns: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
+    """How many of the columns are NULL, or NaN where their kind is a floating one."""
+    kinds = kinds or {}
+    return sum((F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if kinds.get(c) in ("double", "float") else F.lit(False))).cast("int") for c in columns)
+
+
 def task_label(category: Column, negative: str, positive: str) -> Column:
     return F.when(category == negative, 0).when(category == positive, 1)
 
@@ -37,18 +69,48 @@ def weighted_moments(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
     return out.withColumn("wstd", F.sqrt("wvar"))
 
 
-def brr(df: DataFrame, by: Sequence[str], x: Column, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
-    """estimate, brr_se, ci_low, ci_high, n_replicates_used of a weighted mean: one aggregation for all replicates.
+def brr_statistic(df: DataFrame, by: Sequence[str], statistic: Callable[[Column], Column], weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+    """estimate, brr_variance, brr_se, ci_low, ci_high, n_replicates_used, fay_k of any aggregate of a weight.
+
+    statistic gives the aggregate for a weight column. All replicates are aggregates of one pass over the rows as they
+    are, partial in every task, so what is shuffled is one row for each group and task."""
+    each = df.groupBy(*by).agg(*[finite(statistic(w)).alias(f"_t{i}") for i, w in enumerate([weight, *replicates])])
+    return _brr_summary(each.select(*by, F.col("_t0").alias("estimate"), F.array(*[f"_t{i + 1}" for i in range(len(replicates))]).alias("_all")), by, fay_k)
 
-    Sums of all replicate weights are partial in every task, so what is shuffled is one row for each group and task."""
-    numbers = range(len(replicates) + 1)
-    rows = df.select(*by, x.alias("_x"), F.explode(F.arrays_zip(F.array(*[F.lit(r) for r in numbers]).alias("r"), F.array(weight, *replicates).alias("w"))).alias("_r"))
-    each = rows.groupBy(*by, F.col("_r.r").alias("_n")).agg(weighted_mean(F.col("_x"), F.col("_r.w")).alias("_t"))
-    full = each.groupBy(*by).agg(F.max(F.when(F.col("_n") == 0, F.col("_t"))).alias("estimate"), F.collect_list(F.when(F.col("_n") > 0, F.col("_t"))).alias("_all"))
+
+def _brr_summary(each: DataFrame, by: Sequence[str], fay_k: float) -> DataFrame:
+    """Replicates that aren't finite are left out; fewer than two are an error when the row is computed."""
+    out = each.withColumn("_all", F.filter("_all", lambda t: t.isNotNull())).withColumn("n_replicates_used", F.size("_all").cast("long"))
     squares = F.aggregate("_all", F.lit(0.0), lambda s, t: s + F.pow(t - F.col("estimate"), 2))
-    out = full.withColumn("n_replicates_used", F.size("_all").cast("long"))
-    out = out.withColumn("brr_se", F.when(F.col("n_replicates_used") >= 2, F.sqrt(squares / (F.col("n_replicates_used") * (1 - fay_k) ** 2))))
-    return out.select(*by, "estimate", "brr_se", (F.col("estimate") - 1.96 * F.col("brr_se")).alias("ci_low"), (F.col("estimate") + 1.96 * F.col("brr_se")).alias("ci_high"), "n_replicates_used")
+    few = F.raise_error(F.concat(F.lit("fewer than two usable replicates: "), F.col("n_replicates_used").cast("string"))).cast("double")
+    out = out.withColumn("brr_variance", F.when(F.col("n_replicates_used") >= 2, squares / (F.col("n_replicates_used") * (1 - fay_k) ** 2)).otherwise(few)).withColumn("brr_se", F.sqrt("brr_variance"))
+    return out.select(*by, "estimate", "brr_variance", "brr_se", (F.col("estimate") - 1.96 * F.col("brr_se")).alias("ci_low"), (F.col("estimate") + 1.96 * F.col("brr_se")).alias("ci_high"), "n_replicates_used", F.lit(fay_k).alias("fay_k"))
+
+
+def brr(df: DataFrame, by: Sequence[str], x: Column, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+    """brr_statistic of the weighted mean of x."""
+    return brr_statistic(df, by, lambda w: weighted_mean(x, w), weight, replicates, fay_k)
+
+
+def brr_shares(df: DataFrame, by: Sequence[str], category: Column, labels: Sequence[str], weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+    """brr of the weighted share of each category, in (by, category); a row adds its weights to its own category only."""
+    names = [f"_w{i}" for i in range(len(replicates) + 1)]
+    sums = df.select(*by, category.alias("category"), *[w.alias(n) for n, w in zip(names, [weight, *replicates])]).groupBy(*by, "category").agg(*[F.sum(n).alias(n) for n in names])
+    known = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("category", F.lit("")), F.array(*names)))).alias("_m"), F.array(*[F.sum(n) for n in names]).alias("_s"))
+    rows = known.withColumn("category", F.explode(F.array(*map(F.lit, labels)))).withColumn("_c", F.element_at("_m", F.col("category")))
+    shares = F.zip_with(F.coalesce("_c", F.array_repeat(F.lit(0.0), len(names))), "_s", lambda c, s: finite(F.try_divide(c, s)))
+    each = rows.withColumn("_x", shares).select(*by, "category", F.col("_x")[0].alias("estimate"), F.slice("_x", 2, len(replicates)).alias("_all"))
+    return _brr_summary(each, [*by, "category"], fay_k)
+
+
+def brr_auc(df: DataFrame, by: Sequence[str], label: str, score: str, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+    """brr of the weighted AUC: one order of the distinct scores serves all replicates."""
+    names = [f"w{i}" for i in range(len(replicates) + 1)]
+    rows = df.where(F.col(label).isin(0, 1)).select(*by, F.col(score).alias("_s"), F.col(label).alias("_y"), *[w.alias(n) for n, w in zip(names, [weight, *replicates])]).where(finite(F.col("_s").cast("double")).isNotNull())
+    cells = rows.groupBy(*by, "_s").agg(*[F.sum(F.when(F.col("_y") == y, F.col(n)).otherwise(0.0)).alias(f"{k}{n}") for n in names for y, k in ((1, "p"), (0, "n"))])
+    order = cumulate(cells, by, "_s", [f"n{n}" for n in names])
+    tops = order.groupBy(*by).agg(*[finite(F.try_divide(F.sum(F.col(f"p{n}") * (F.col(f"below_n{n}") + F.col(f"n{n}") / 2)), F.sum(f"p{n}") * F.sum(f"n{n}"))).alias(f"_t{i}") for i, n in enumerate(names)])
+    return _brr_summary(tops.select(*by, F.col("_t0").alias("estimate"), F.array(*[f"_t{i + 1}" for i in range(len(replicates))]).alias("_all")), by, fay_k)
 
 
 def sample_flow(df: DataFrame, missing: str, psu: str, thresholds: Sequence[int]) -> DataFrame:
@@ -57,12 +119,15 @@ def sample_flow(df: DataFrame, missing: str, psu: str, thresholds: Sequence[int]
     return steps.groupBy("threshold").agg(F.count("*").alias("n"), F.countDistinct(psu).alias("n_psu"))
 
 
-def design_diagnostics(df: DataFrame, psu: str, w: str, stratum: str) -> DataFrame:
+def design_diagnostics(df: DataFrame, psu: str, w: str, stratum: str, n_replicates: int = 0) -> DataFrame:
+    """Rows, clusters and their sizes, weights with their population CV, Kish's effective size, design effect, strata."""
     each = df.groupBy(psu).agg(F.count("*").alias("c"), F.sum(w).alias("s"), F.sum(F.pow(w, F.lit(2))).alias("q"), F.min(w).alias("lo"), F.max(w).alias("hi"))
     strata = df.agg(F.countDistinct(stratum).alias("n_strata"))
     out = each.agg(F.sum("c").alias("n"), F.count("*").alias("n_psu"), F.avg("c").alias("mean_per_psu"), F.min("c").alias("min_per_psu"), F.max("c").alias("max_per_psu"), F.sum("s").alias("sum_w"), F.sum("q").alias("_q"), F.min("lo").alias("min_w"), F.max("hi").alias("max_w"))
+    mean = F.col("sum_w") / F.col("n")
+    out = out.withColumn("cv_w", F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean)), mean))
     out = out.withColumn("kish_n", F.try_divide(F.col("sum_w") * F.col("sum_w"), F.col("_q")))
-    return out.withColumn("deff", F.try_divide(F.col("n"), F.col("kish_n"))).drop("_q").crossJoin(F.broadcast(strata))
+    return out.withColumn("deff", F.try_divide(F.col("n"), F.col("kish_n"))).withColumn("n_replicates", F.lit(n_replicates).cast("long")).drop("_q").crossJoin(F.broadcast(strata))
 
 
 def normalised_weights(df: DataFrame, w: str) -> DataFrame:
@@ -92,39 +157,70 @@ def rubin(df: DataFrame, by: Sequence[str], estimate: str, variance: str) -> Dat
     return out.withColumns({"riv": F.try_divide(extra, F.col("within")), "df": (F.col("m") - 1) * F.pow(1 + F.try_divide(F.col("within"), extra), 2), "fmi": F.coalesce(F.try_divide(extra, F.col("total_var")), F.lit(0.0))})
 
 
+def rubin_intervals(df: DataFrame, by: Sequence[str], estimate: str, variance: str, alpha: float = 0.05) -> DataFrame:
+    """rubin() with ci_low and ci_high: Student quantiles, normal ones where the estimates don't differ."""
+    out = rubin(df, by, estimate, variance)
+    normal = (F.col("m") < 2) | (F.col("between") == 0) | (F.col("within") == 0) & (F.col("between") == 0)
+    out = out.withColumns({"df": F.when(normal, float("inf")).otherwise(F.col("df")), "riv": F.when(normal, 0.0).when(F.col("within") == 0, float("inf")).otherwise(F.col("riv")), "fmi": F.when(normal, 0.0).otherwise(F.col("fmi"))})
+    half = t_quantile(F.lit(1 - alpha / 2), F.col("df")) * F.col("se")
+    return out.withColumns({"ci_low": F.col("q_bar") - half, "ci_high": F.col("q_bar") + half})
+
+
 def _ranked(df: DataFrame, by: Sequence[str], label: str, score: str, w: Column) -> DataFrame:
     """Positive and negative weight at each distinct score: what the global order works on."""
     return df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("_n"))
 
 
 def auc(df: DataFrame, by: Sequence[str], label: str, score: str, w: Column | None = None) -> DataFrame:
-    """Tie-aware weighted ROC AUC for each group."""
-    each = _ranked(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), by, label, score, F.lit(1.0) if w is None else w)
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
-    got = each.withColumn("_b", F.col("_p") * (below - F.col("_n") / 2)).groupBy(*by).agg(F.sum("_b").alias("_u"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
+    """Tie-aware weighted ROC AUC for each group, with n_used (rows with a finite score and a label)."""
+    sound = df.where(finite(F.col(score).cast("double")).isNotNull() & F.col(label).isNotNull())
+    each = cumulate(_ranked(sound, by, label, score, F.lit(1.0) if w is None else w), by, "_s", ["_n"])
+    got = each.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("below__n") + F.col("_n") / 2)).alias("_u"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
     return got.select(*by, F.try_divide(F.col("_u"), F.col("_tp") * F.col("_tn")).alias("auc"))
 
 
-def average_precision(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    each = _ranked(df, by, label, score, F.lit(1.0))
-    order = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    got = each.withColumns({"_cp": F.sum("_p").over(order), "_cn": F.sum("_n").over(order)})
-    return got.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_cp") / (F.col("_cp") + F.col("_cn"))), F.sum("_p")).alias("ap"))
+def average_precision(df: DataFrame, by: Sequence[str], label: str, score: str, w: Column | None = None) -> DataFrame:
+    each = _ranked(df.where(finite(F.col(score).cast("double")).isNotNull()), by, label, score, F.lit(1.0) if w is None else w).withColumn("_d", -F.col("_s"))
+    got = cumulate(each, by, "_d", ["_p", "_n"]).withColumns({"_cp": F.col("below__p") + F.col("_p"), "_cn": F.col("below__n") + F.col("_n")})
+    return got.groupBy(*by).agg(F.try_divide(F.sum(F.try_divide(F.col("_p") * F.col("_cp"), F.col("_cp") + F.col("_cn"))), F.sum("_p")).alias("ap"))
 
 
 def confusion_metrics(df: DataFrame, by: Sequence[str], label: str, score: Column, threshold: float, w: Column) -> DataFrame:
+    """Weighted confusion counts at a threshold and what follows from them; 0/0 is 0. brier takes scores cut to 0 to 1."""
     y, hit = F.col(label) == 1, score >= threshold
     cells = {"tp": y & hit, "fn": y & ~hit, "fp": ~y & hit, "tn": ~y & ~hit}
-    out = df.groupBy(*by).agg(*[F.sum(F.when(c, w).otherwise(0.0)).alias(n) for n, c in cells.items()], F.count("*").alias("n"))
+    off = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) - F.col(label), F.lit(2))
+    out = df.groupBy(*by).agg(*[F.sum(F.when(c, w).otherwise(0.0)).alias(n) for n, c in cells.items()], F.count("*").alias("n"), weighted_mean(off, w).alias("brier"))
     tp, fn, fp, tn = map(F.col, ("tp", "fn", "fp", "tn"))
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))  # noqa: E731  0/0 is 0 here
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     out = out.withColumns({"accuracy": ratio(tp + tn, tp + fn + fp + tn), "recall": ratio(tp, tp + fn), "precision": ratio(tp, tp + fp), "specificity": ratio(tn, tn + fp), "fnr": ratio(fn, fn + tp), "fpr": ratio(fp, fp + tn), "prevalence": ratio(tp + fn, tp + fn + fp + tn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
-    return out.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
-
-
-def select_threshold(df: DataFrame, label: str, score: Column, grid: Sequence[float]) -> DataFrame:
-    """The lowest threshold of the best balanced accuracy; the grid is short and rows are aggregated against it at once."""
-    y = F.col(label)
-    rows = df.select(y.alias("y"), score.alias("s")).withColumn("threshold", F.explode(F.array(*map(F.lit, grid))))
-    got = rows.groupBy("threshold").agg(F.avg(F.when(F.col("y") == 1, (F.col("s") >= F.col("threshold")).cast("double"))).alias("r"), F.avg(F.when(F.col("y") == 0, (F.col("s") < F.col("threshold")).cast("double"))).alias("q"))
-    return got.select("threshold", ((F.coalesce("r", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))) / 2).alias("value")).orderBy(F.desc(F.round("value", 12)), "threshold").limit(1)
+    return out.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "threshold": F.lit(float(threshold))})
+
+
+def classification_metrics(df: DataFrame, by: Sequence[str], label: str, score: str, threshold: float, w: Column | None = None) -> DataFrame:
+    """confusion_metrics, auc and average precision in one row for each group; weighted tells whether w was given."""
+    out = confusion_metrics(df, by, label, F.col(score), threshold, F.lit(1.0) if w is None else w)
+    for other in (auc(df, by, label, score, w), average_precision(df, by, label, score, w)):
+        out = join_on(out, other, by, "left") if by else join_on(out, other, by)
+    return out.withColumn("weighted", F.lit(w is not None))
+
+
+def select_threshold(df: DataFrame, label: str, score: Column, grid: Sequence[float] | None = None, metric: str = "balanced_accuracy", w: Column | None = None) -> DataFrame:
+    """The lowest threshold of the best value (balanced_accuracy or f1), among the 99 percentiles of the score or a grid.
+
+    Rows fall between thresholds once; sums over what lies at or above each threshold follow from the few cells."""
+    if metric not in ("balanced_accuracy", "f1"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = df.select(F.col(label).alias("y"), score.cast("double").alias("s"), (F.lit(1.0) if w is None else w).alias("w")).where("s is not null and y is not null")
+    if grid is None:
+        cuts = quantiles(counted(rows, [], "s"), [], "s", [i / 100 for i in range(1, 100)]).select(F.array_sort(F.array_distinct("cuts")).alias("cuts"))
+    else:
+        cuts = df.sparkSession.createDataFrame([(sorted({float(x) for x in grid}),)], "cuts array<double>")
+    place = rows.crossJoin(F.broadcast(cuts)).withColumn("at", F.size(F.filter("cuts", lambda c: c <= F.col("s"))))
+    cells = place.groupBy("at").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("n"))
+    marks = cuts.select(F.posexplode("cuts").alias("i", "threshold"))
+    sums = marks.join(F.broadcast(cells)).groupBy("threshold").agg(*[F.sum(F.when(c, F.col(k)).otherwise(0.0)).alias(a) for a, k, c in (("tp", "p", F.col("at") > F.col("i")), ("fn", "p", F.col("at") <= F.col("i")), ("fp", "n", F.col("at") > F.col("i")), ("tn", "n", F.col("at") <= F.col("i")))])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fn, fp, tn = map(F.col, ("tp", "fn", "fp", "tn"))
+    value = (ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2 if metric == "balanced_accuracy" else ratio(2 * tp, 2 * tp + fp + fn)
+    return sums.select("threshold", value.alias("value")).orderBy(F.desc(F.round("value", 12)), "threshold").limit(1)
