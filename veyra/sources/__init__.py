@@ -1 +1 @@
-"""Survey-aware analytics on Spark."""
+"""Reading, caching, checkpoints, manifests, codebooks, settings and report sinks."""

@@ -1 +1 @@
-"""Survey-aware analytics on Spark."""
+"""The additive statistics over streams."""
