@@ -71,9 +71,9 @@ def test_shares_are_means_of_marks(spark):
 
 
 def test_rubin_intervals(spark):
-    df = spark.createDataFrame([("u", e, 0.0004) for e in (0.80, 0.82, 0.84, 0.81, 0.83)] + [("v", 0.5, 0.01)], "g string, e double, v double")
+    df = spark.createDataFrame([("u", e, 0.25) for e in (6.0, 7.0, 9.0, 10.0)] + [("v", 0.5, 0.01)], "g string, e double, v double")
     u, v = V.rubin_intervals(df, ["g"], "e", "v").orderBy("g").collect()
-    assert math.isclose(u["ci_high"] - u["q_bar"], dist.t_ppf(0.975, u["df"]) * u["se"]) and u["ci_low"] < 0.82 < u["ci_high"]
+    assert math.isclose(u["ci_high"] - u["q_bar"], dist.t_ppf(0.975, u["df"]) * u["se"]) and u["ci_low"] < 8 < u["ci_high"]
     assert v["df"] == math.inf and v["fmi"] == 0 and math.isclose(v["ci_high"], 0.5 + 1.959963984540054 * 0.1)
 
 

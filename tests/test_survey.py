@@ -14,8 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def test_category_edges(spark):
-    rows = spark.createDataFrame([(481.9,), (482.0,), (482.38,), (482.4,), (606.98,), (606.99,), (607.0,), (None,)], "x double")
-    got = [r[0] for r in rows.select(V.categorize(F.col("x"), (482.38, 606.99), ("L", "M", "H"))).collect()]
+    rows = spark.createDataFrame([(-3.0,), (10.25,), (10.5,), (10.75,), (20.0,), (20.25,), (float("inf"),), (None,)], "x double")
+    got = [r[0] for r in rows.select(V.categorize(F.col("x"), (10.5, 20.25), ("L", "M", "H"))).collect()]
     assert got == ["L", "L", "M", "M", "M", "H", "H", None]
 
 
@@ -31,15 +31,15 @@ def test_identical_replicates_have_no_error(spark):
 
 
 def test_rubin_identity(spark):
-    rows = spark.createDataFrame([(e, 0.0004) for e in (0.80, 0.82, 0.84, 0.81, 0.83)], "e double, v double")
+    rows = spark.createDataFrame([(e, 0.25) for e in (6.0, 7.0, 9.0, 10.0)], "e double, v double")
     got = V.rubin(rows, [], "e", "v").first()
-    assert math.isclose(got["total_var"], 0.0004 + 1.2 * got["between"])
+    assert math.isclose(got["between"], 10 / 3) and math.isclose(got["total_var"], 0.25 + 1.25 * 10 / 3) and got["q_bar"] == 8
 
 
 def test_cohens_d_value(spark):
-    rows = spark.createDataFrame([(float(x), 1) for x in range(1, 6)] + [(float(x), 0) for x in range(3, 8)], "x double, g int")
+    rows = spark.createDataFrame([(float(x), 1) for x in (2, 4, 4, 6)] + [(float(x), 0) for x in (1, 3, 5, 7, 9)], "x double, g int")
     got = S.cohens_d(rows, [], "x", "g").first()
-    assert math.isclose(got["d"], -1.2649110640673518) and got["band"] == "large"
+    assert math.isclose(got["d"], -1 / math.sqrt(48 / 7)) and got["band"] == "small"
 
 
 def test_corrections(spark):
@@ -72,8 +72,8 @@ def test_interval_holds_the_estimate(spark):
     from veyra.operators import resample as R
 
     rows = spark.range(600).select((F.col("id") % 20).alias("g"), (F.col("id") * 7 % 10 < 4).cast("int").alias("y"), ((F.col("id") * 7 % 10 < 4).cast("int") * 20 + F.col("id") * 37 % 50).cast("double").alias("s"))
-    low, high = R.cluster_interval(rows, "g", "y", "s", V.auc(rows, [], "y", "s").first()[0], 200)
-    assert low <= V.auc(rows, [], "y", "s").first()[0] <= high
+    got = R.cluster_interval(rows, "g", "y", "s", replicates=200)
+    assert got["ci_low"] <= V.auc(rows, [], "y", "s").first()[0] <= got["ci_high"]
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))

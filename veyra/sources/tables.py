@@ -200,3 +200,22 @@ def emit(df: DataFrame, name: str, folder: str, *, caption: str = "", most: int
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/{name}.csv")
     spark.createDataFrame([(to_latex(df, caption, f"tab:{name}" if caption else "", most),)], "value string").write.mode("overwrite").text(f"{base}/{name}.tex")
     return {"csv": f"{base}/{name}.csv", "tex": f"{base}/{name}.tex"}
+
+
+def stage_locally(path: str, folder: str, min_free_gb: float = 3.0) -> str:
+    """A copy of a raw file in a folder of the driver's disk, for readers of single files on slow mounts; the path itself
+    where too little would stay free. A copy of the same size is taken as it is."""
+    import os
+    import shutil
+
+    size = os.path.getsize(path)
+    target = os.path.join(folder, os.path.basename(path))
+    if os.path.exists(target) and os.path.getsize(target) == size:
+        return target
+    os.makedirs(folder, exist_ok=True)
+    if shutil.disk_usage(folder).free - size < min_free_gb * 1e9:
+        return path
+    part = f"{target}.part"
+    shutil.copyfile(path, part)
+    os.replace(part, target)
+    return target
