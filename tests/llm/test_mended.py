@@ -221,3 +221,12 @@ def test_fit_takes_all_drawn_texts_for_the_cut():
     machine = toxicity.Machine(["abcd"], np.ones(1, np.float32), 0.0)
     margins = [(0.1, 0)] * 5000 + [(0.4, 0)] * 200 + [(0.3, 1)] * 100 + [(0.9, 1)] * 900
     assert toxicity.cut(machine, margins).bias == pytest.approx(-0.65)
+
+
+def test_intermediate_folders_can_be_released(spark):
+    from veyra.llm import common
+
+    common.release(spark)
+    kept = common.materialize(spark.range(10), "some")
+    path = common._MADE[-1].removeprefix("file://")
+    assert kept.count() == 10 and os.path.isdir(path) and common.release(spark) == 1 and not os.path.exists(path)

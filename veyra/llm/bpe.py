@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, text_batches
 
-CACHE_WORDS = 400_000
+#: A task's cache holds so many words of at most so many characters.
+CACHE_WORDS, LONGEST = 400_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,7 +73,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
                         if got is None:
                             if len(cache) >= CACHE_WORDS:
                                 cache.clear()
-                            got = cache[word] = fold_merges(word.encode(), rank)
+                            got = fold_merges(word.encode(), rank)
+                            if len(word) <= LONGEST:
+                                cache[word] = got
                         out.extend(got)
                     counts.append(len(out))
                     ids.append(out.tobytes())
