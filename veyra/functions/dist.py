@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from statistics import NormalDist
 
 import pandas as pd
@@ -66,8 +67,10 @@ def wilcoxon(differences: list[float]) -> tuple[float, float]:
     d = [x for x in differences if x]
     if not d:
         return math.nan, math.nan
-    sizes = sorted(abs(x) for x in d)
-    rank = {v: (sizes.index(v) * 2 + sizes.count(v) + 1) / 2 for v in set(sizes)}
+    sizes = Counter(abs(x) for x in d)
+    rank, before = {}, 0
+    for v, c in sorted(sizes.items()):
+        rank[v], before = before + (c + 1) / 2, before + c
     plus = sum(rank[abs(x)] for x in d if x > 0)
     n = len(d)
     low = min(plus, n * (n + 1) / 2 - plus)
@@ -77,7 +80,7 @@ def wilcoxon(differences: list[float]) -> tuple[float, float]:
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
         return low, min(1.0, 2 * sum(ways[: int(low) + 1]) / 2**n)
-    ties = sum(c**3 - c for c in (sizes.count(v) for v in rank))
+    ties = sum(c**3 - c for c in sizes.values())
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     return low, (2 * NORMAL.cdf((low - n * (n + 1) / 4) / sd) if sd else math.nan)
 
