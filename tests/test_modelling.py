@@ -70,6 +70,16 @@ def test_shares_are_means_of_marks(spark):
         assert math.isclose(got[c]["estimate"], want["estimate"]) and math.isclose(got[c]["brr_se"], want["brr_se"], abs_tol=1e-12)
 
 
+def test_factors_of_clusters_give_the_same(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.randrange(6), rng.gauss(0, 1) if i % 5 else None, i % 2, 1.0 + i % 3) for i in range(200)], "feature string, psu int, value double, y int, w double")
+    factors = [F.when((F.col("psu") * r) % 5 % 2 == 0, 1.5).otherwise(0.5) for r in range(1, 9)]
+    whole = [F.col("w") * f for f in factors]
+    for one, two in ((V.brr(df, ["feature"], F.col("value"), F.col("w"), whole), V.brr(df, ["feature"], F.col("value"), F.col("w"), factors, cluster="psu")), (S.group_differences(df, "y", F.col("w"), whole), S.group_differences(df, "y", F.col("w"), factors, "psu"))):
+        a, b = ({r["feature"]: r for r in x.collect()} for x in (one, two))
+        assert all(math.isclose(a[f]["brr_se"], b[f]["brr_se"], rel_tol=1e-9) and math.isclose(a[f][c], b[f][c], rel_tol=1e-9) for f in "ab" for c in ("ci_low", "ci_high"))
+
+
 def test_rubin_intervals(spark):
     df = spark.createDataFrame([("u", e, 0.25) for e in (6.0, 7.0, 9.0, 10.0)] + [("v", 0.5, 0.01)], "g string, e double, v double")
     u, v = V.rubin_intervals(df, ["g"], "e", "v").orderBy("g").collect()
@@ -110,9 +120,10 @@ def test_contrast_table(spark):
 
 def test_weighted_difference_by_hand(spark):
     df = spark.createDataFrame([(1.0, 0, 1.0), (3.0, 0, 1.0), (2.0, 1, 2.0), (6.0, 1, 2.0)], "x double, g int, w double")
-    d = df.agg(S.weighted_d(F.col("x"), F.col("g"), F.col("w"))).first()[0]
-    assert math.isclose(d, (4 - 2) / math.sqrt((3 * 4 + 1 * 1) / 4))
-    assert df.where("g = 1 or x = 1").agg(S.weighted_d(F.col("x"), F.col("g"), F.col("w"))).first()[0] is None
+    long = df.select(F.lit("f").alias("feature"), F.col("x").alias("value"), "g", "w")
+    got = S.group_differences(long, "g", F.col("w")).first()
+    assert math.isclose(got["d"], (4 - 2) / math.sqrt((3 * 4 + 1 * 1) / 4)) and got["band"] == "large"
+    assert S.group_differences(long.where("g = 1 or value = 1"), "g", F.col("w")).first()["d"] is None
 
 
 # ---- guards

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veyra.functions.dist import NORMAL, t_quantile, t_two_sided, wilcoxon
 
 from .ordered import counted, join_on, numbered, quantiles
-from .survey import brr_statistic, finite
+from .survey import brr_clustered, brr_statistic, finite
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -121,27 +121,39 @@ def cohens_d(df: DataFrame, by: Sequence[str], x: str, group: str) -> DataFrame:
     return out.withColumns({"hedges_g": F.col("d") * (1 - 3 / (4.0 * (F.col("n1") + F.col("n0") - 2) - 1)), "band": interpret_d(F.col("d"))}).select(*by, "d", "hedges_g", "band")
 
 
-def weighted_d(x: Column, group: Column, w: Column) -> Column:
-    """The aggregate of a weighted standardised difference of groups 1 and 0; variances pooled by the sums of weights."""
-    def side(k: int) -> tuple[Column, Column, Column]:
-        own = F.when((group == k) & x.isNotNull(), w)
-        n, mean = F.sum(F.when(group == k, w)), F.try_divide(F.sum(x * own), F.sum(own))
-        return n, mean, F.try_divide(F.sum(x * x * own), F.sum(own)) - mean * mean
+def difference_values(x: Column, group: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What a weighted difference of groups 1 and 0 sums times the weight, and what it counts."""
+    values, counts = {}, {}
+    for k in (1, 0):
+        own = (group == k) & x.isNotNull()
+        values |= {f"n{k}_": F.when(group == k, 1.0), f"w{k}_": F.when(own, 1.0), f"s{k}_": F.when(own, x), f"q{k}_": F.when(own, x * x)}
+        counts[f"c{k}_"] = F.when(own, 1).otherwise(0)
+    return values, counts
 
-    (n1, m1, v1), (n0, m0, v0) = side(1), side(0)
-    spread = ((n1 - 1) * v1 + (n0 - 1) * v0) / F.greatest(n1 + n0 - 2, F.lit(1e-9))
-    return F.when((F.count_if((group == 1) & x.isNotNull()) >= 2) & (F.count_if((group == 0) & x.isNotNull()) >= 2) & (spread > 0), F.try_divide(m1 - m0, F.sqrt(spread)))
 
+def difference(c) -> Column:
+    """The weighted standardised difference from the sums of difference_values: variances of the population, pooled by sums of weights;
+    NULL where a group has fewer than two rows or there is no spread."""
+    mean = {k: F.try_divide(c(f"s{k}_"), c(f"w{k}_")) for k in (1, 0)}
+    var = {k: F.try_divide(c(f"q{k}_"), c(f"w{k}_")) - mean[k] * mean[k] for k in (1, 0)}
+    spread = ((c("n1_") - 1) * var[1] + (c("n0_") - 1) * var[0]) / F.greatest(c("n1_") + c("n0_") - 2, F.lit(1e-9))
+    return F.when((c("c1_") >= 2) & (c("c0_") >= 2) & (spread > 0), F.try_divide(mean[1] - mean[0], F.sqrt(spread)))
 
-def group_differences(long: DataFrame, group: str, weight: Column | None = None, replicates: Sequence[Column] = ()) -> DataFrame:
-    """Every feature's standardised difference, largest first: unweighted with g, or weighted, with replicate errors."""
+
+def group_differences(long: DataFrame, group: str, weight: Column | None = None, replicates: Sequence[Column] = (), cluster: str | None = None) -> DataFrame:
+    """Every feature's standardised difference, largest first: unweighted with g, or weighted, with replicate errors (with
+    cluster, replicates are factors of the weight within it)."""
     if weight is None:
         return cohens_d(long, ["feature"], "value", group).orderBy(F.desc_nulls_last(F.abs("d")), "feature")
-    x, y = F.col("value"), F.col(group)
-    if replicates:
-        out = brr_statistic(long, ["feature"], lambda w: weighted_d(x, y, w), weight, replicates).withColumnRenamed("estimate", "d")
+    values, counts = difference_values(F.col("value"), F.col(group))
+    if replicates and cluster is not None:
+        out = brr_clustered(long, ["feature"], values, counts, difference, cluster, weight, replicates).withColumnRenamed("estimate", "d")
+    elif replicates:
+        sums = lambda w: {n: F.sum(v * w) for n, v in values.items()} | {n: F.sum(c) for n, c in counts.items()}
+        out = brr_statistic(long, ["feature"], sums, weight, replicates, finish=difference).withColumnRenamed("estimate", "d")
     else:
-        out = long.groupBy("feature").agg(weighted_d(x, y, weight).alias("d"))
+        sums = [F.sum(v * weight).alias(n) for n, v in values.items()] + [F.sum(c).alias(n) for n, c in counts.items()]
+        out = long.groupBy("feature").agg(*sums).select("feature", difference(F.col).alias("d"))
     return out.withColumn("band", interpret_d(F.col("d"))).orderBy(F.desc_nulls_last(F.abs("d")), "feature")
 
 

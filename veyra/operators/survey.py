@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,15 +69,36 @@ def weighted_moments(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
     return out.withColumn("wstd", F.sqrt("wvar"))
 
 
-def brr_statistic(df: DataFrame, by: Sequence[str], statistic: Callable[[Column], Column], weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+def brr_statistic(df: DataFrame, by: Sequence[str], statistic: Callable, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5, finish: Callable | None = None) -> DataFrame:
     """estimate, brr_variance, brr_se, ci_low, ci_high, n_replicates_used, fay_k of any aggregate of a weight.
 
-    statistic gives the aggregate for a weight column. All replicates are aggregates of one pass over the rows as they
-    are, partial in every task, so what is shuffled is one row for each group and task."""
-    each = df.groupBy(*by).agg(*[finite(statistic(w)).alias(f"_t{i}") for i, w in enumerate([weight, *replicates])])
+    statistic gives the aggregate for a weight column; or, with finish, named sums, from which finish makes the statistic
+    (it is given a function from name to column). All replicates are aggregates of one pass over the rows as they are,
+    partial in every task, so what is shuffled is one row for each group and task."""
+    names = [f"_w{i}" for i in range(len(replicates) + 1)]
+    df = df.withColumns(dict(zip(names, [weight, *replicates])))  # once a row, however many sums use them
+    weights = [F.col(n) for n in names]
+    if finish is None:
+        each = df.groupBy(*by).agg(*[finite(statistic(w)).alias(f"_t{i}") for i, w in enumerate(weights)])
+    else:
+        sums = df.groupBy(*by).agg(*[a.alias(f"_{n}{i}") for i, w in enumerate(weights) for n, a in statistic(w).items()])
+        each = sums.select(*by, *[finite(finish(lambda n, i=i: F.col(f"_{n}{i}"))).alias(f"_t{i}") for i in range(len(weights))])
     return _brr_summary(each.select(*by, F.col("_t0").alias("estimate"), F.array(*[f"_t{i + 1}" for i in range(len(replicates))]).alias("_all")), by, fay_k)
 
 
+def brr_clustered(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], counts: Mapping[str, Column], finish: Callable, cluster: str, weight: Column, factors: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
+    """brr_statistic where replicate weights are the weight times a factor that is the same within a cluster.
+
+    values give what is summed times the weight, counts what is summed as it is; finish makes the statistic of the sums.
+    Rows are read into one row for each group and cluster, with the sums under the full weight; only those rows meet the
+    factors (columns of the cluster), so a row costs a few sums however many replicates there are."""
+    sums = df.groupBy(*by, cluster).agg(*[F.sum(v * weight).alias(f"_s_{n}") for n, v in values.items()], *[F.sum(c).alias(f"_c_{n}") for n, c in counts.items()])
+    every = [F.lit(1.0), *factors]
+    each = sums.groupBy(*by).agg(*[F.sum(F.col(f"_s_{n}") * f).alias(f"_{n}{i}") for i, f in enumerate(every) for n in values], *[F.sum(f"_c_{n}").alias(f"_{n}") for n in counts])
+    each = each.select(*by, *[finite(finish(lambda n, i=i: F.col(f"_{n}{i}" if n in values else f"_{n}"))).alias(f"_t{i}") for i in range(len(every))])
+    return _brr_summary(each.select(*by, F.col("_t0").alias("estimate"), F.array(*[f"_t{i + 1}" for i in range(len(factors))]).alias("_all")), by, fay_k)
+
+
 def _brr_summary(each: DataFrame, by: Sequence[str], fay_k: float) -> DataFrame:
     """Replicates that aren't finite are left out; fewer than two are an error when the row is computed."""
     out = each.withColumn("_all", F.filter("_all", lambda t: t.isNotNull())).withColumn("n_replicates_used", F.size("_all").cast("long"))
@@ -87,9 +108,12 @@ def _brr_summary(each: DataFrame, by: Sequence[str], fay_k: float) -> DataFrame:
     return out.select(*by, "estimate", "brr_variance", "brr_se", (F.col("estimate") - 1.96 * F.col("brr_se")).alias("ci_low"), (F.col("estimate") + 1.96 * F.col("brr_se")).alias("ci_high"), "n_replicates_used", F.lit(fay_k).alias("fay_k"))
 
 
-def brr(df: DataFrame, by: Sequence[str], x: Column, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:
-    """brr_statistic of the weighted mean of x."""
-    return brr_statistic(df, by, lambda w: weighted_mean(x, w), weight, replicates, fay_k)
+def brr(df: DataFrame, by: Sequence[str], x: Column, weight: Column, replicates: Sequence[Column], fay_k: float = 0.5, cluster: str | None = None) -> DataFrame:
+    """brr_statistic of the weighted mean of x. With cluster, replicates are factors of the weight within it."""
+    if cluster is not None:
+        return brr_clustered(df, by, {"s": x, "w": F.when(x.isNotNull(), 1.0)}, {}, lambda c: F.try_divide(c("s"), c("w")), cluster, weight, replicates, fay_k)
+    sums = lambda w: {"s": F.sum(x * w), "w": F.sum(F.when(x.isNotNull(), w))}
+    return brr_statistic(df, by, sums, weight, replicates, fay_k, lambda c: F.try_divide(c("s"), c("w")))
 
 
 def brr_shares(df: DataFrame, by: Sequence[str], category: Column, labels: Sequence[str], weight: Column, replicates: Sequence[Column], fay_k: float = 0.5) -> DataFrame:

@@ -47,8 +47,13 @@ def pv(i: int):
 PV_SQL = "l_extendedprice*(1+0.02*(((l_orderkey*7+l_linenumber*13+{i}*31)%11)-5))"
 CASE = "case when {x} is null then null when {x} < 35000 then 'Low' when {x} < 70000 then 'Medium' else 'High' end"
 
+
+def factors() -> list:
+    return [F.when(((F.col("l_suppkey") * r) % 83) % 2 == 0, 1.5).otherwise(0.5) for r in range(1, 81)]
+
+
 def replicates() -> list:
-    return [F.col("l_quantity") * F.when(((F.col("l_suppkey") * r) % 83) % 2 == 0, 1.5).otherwise(0.5) for r in range(1, 81)]
+    return [F.col("l_quantity") * f for f in factors()]
 
 
 BRR_SQL = """with x as (select {by} as g, {value} as v, l_quantity as w, l_suppkey from lineitem), r as (select unnest(range(0, 81)) as r),
@@ -65,7 +70,7 @@ def brr_proportions(spark, d):
 
 @add("brr_means", BRR_SQL.format(by="l_returnflag", value="case when l_partkey%11 = 0 then null else l_discount end", name="l_returnflag"))
 def brr_means(spark, d):
-    return rounded(V.brr(read(spark, d, "lineitem"), ["l_returnflag"], F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")), F.col("l_quantity"), replicates()).drop("brr_variance", "fay_k"))
+    return rounded(V.brr(read(spark, d, "lineitem"), ["l_returnflag"], F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")), F.col("l_quantity"), factors(), cluster="l_suppkey").drop("brr_variance", "fay_k"))
 
 
 @add("weighted_moments", "with x as (select *, case when l_partkey%11 = 0 then null else l_discount end as v from lineitem), m as (select l_returnflag, l_linestatus, sum(v*l_quantity)/sum(case when v is not null then l_quantity end) as m from x group by all) select x.l_returnflag, x.l_linestatus, round(m,6) as wmean, round(sum(power(v-m,2)*l_quantity)/sum(case when v is not null then l_quantity end),6) as wvar, round(sqrt(sum(power(v-m,2)*l_quantity)/sum(case when v is not null then l_quantity end)),6) as wstd from x join m on x.l_returnflag = m.l_returnflag and x.l_linestatus = m.l_linestatus group by x.l_returnflag, x.l_linestatus, m")

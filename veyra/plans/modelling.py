@@ -13,7 +13,7 @@ from veyra.operators import survey as V
 from veyra.sources import codebook, tables
 from veyra.streaming.windows import weighted_windows
 
-from .catalogue import BIN_SQL, CHI_SQL, FEATURES, FOLDS_SQL, LONG_SQL, MIX_SQL, PV_SQL, PVS, URGENT, add, folds, long, names, orders, pv, read, rounded
+from .catalogue import BIN_SQL, CHI_SQL, FEATURES, FOLDS_SQL, LONG_SQL, MIX_SQL, PV_SQL, PVS, URGENT, add, factors, folds, long, names, orders, pv, read, rounded
 
 # ---- weights and replicates
 O_REPLICATES = range(1, 81)
@@ -42,9 +42,7 @@ select feature, round(e,6) as d, round(sqrt(sum((t-e)*(t-e))/(count(*)*0.25)),6)
 def brr_group_differences(spark, d):
     rows = read(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
     wide = S.unpivot(rows, ["y", "l_quantity", "l_suppkey"], ["l_discount", "l_tax", "l_linenumber"])
-    from .catalogue import replicates
-
-    return rounded(S.group_differences(wide, "y", F.col("l_quantity"), replicates()).select("feature", "d", "brr_se", "band"))
+    return rounded(S.group_differences(wide, "y", F.col("l_quantity"), factors(), "l_suppkey").select("feature", "d", "brr_se", "band"))
 
 
 @add("rubin_intervals")
