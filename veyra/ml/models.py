@@ -239,23 +239,23 @@ def run_nested(df: DataFrame, features: Sequence[str], label: str, cluster: str,
             def out_of_fold(spec, params, parts=parts):
                 return [Fitted(a, features, label, spec, params, selector(), key).score(b).select(F.col(label).alias("y"), "score") for a, b in parts]
 
-            best, inner_scores = (None, None, -math.inf), {}
+            best, inner_scores = (None, None, -math.inf, []), {}
             for name, spec in models.items():
                 for params in _grid(spec):
                     try:
-                        value = sum(_auc(s.withColumnRenamed("y", label), label) for s in out_of_fold(spec, params)) / len(parts)
+                        scored = out_of_fold(spec, params)
+                        value = sum(_auc(s.withColumnRenamed("y", label), label) for s in scored) / len(parts)
                     except Exception as e:  # a model that can't be fitted leaves the others
                         log.error("%s %s: %s", name, params, str(e)[:200])
                         continue
                     inner_scores[name] = max(value, inner_scores.get(name, -math.inf))
                     if math.isfinite(value) and value > best[2]:
-                        best = (name, params, value)
-            name, params, value = best
+                        best = (name, params, value, scored)
+            name, params, value, scored = best
             if name is None:
                 log.error("no model could be fitted in repeat %d, fold %d", rep, fold)
                 continue
-            scored = out_of_fold(models[name], params)
-            pooled = scored[0]
+            pooled = scored[0]  # of models fitted on the inner folds, not of the one that the outer test part meets
             for s in scored[1:]:
                 pooled = pooled.unionByName(s)
             cut = survey.select_threshold(pooled, "y", F.col("score"), metric=cfg.threshold_metric).first()
