@@ -32,9 +32,11 @@ def _pieces(df: DataFrame, by: Sequence[str], key: str, pieces: int) -> DataFram
     return join_on(df, cuts, by).withColumn("_piece", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(key)))).drop("_cuts")
 
 
-def cumulate(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], *, ties: Sequence[str] = (), pieces: int = PIECES) -> DataFrame:
-    """Adds below_<c> for each c of sums: its total over the group's rows before this one, in order of key and ties."""
-    placed = _pieces(df.where(F.col(key).isNotNull()), by, key, pieces)
+def cumulate(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], *, ties: Sequence[str] = (), pieces: int = PIECES, piece: Column | None = None) -> DataFrame:
+    """Adds below_<c> for each c of sums: its total over the group's rows before this one, in order of key and ties. piece,
+    a column that rises with the key, takes the place of cuts at quantiles."""
+    known = df.where(F.col(key).isNotNull())
+    placed = _pieces(known, by, key, pieces) if piece is None else known.withColumn("_piece", piece)
     totals = placed.groupBy(*by, "_piece").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     ahead = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_piece", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sums])
@@ -43,9 +45,9 @@ def cumulate(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], *,
     return out.drop("_piece", *[f"_o_{c}" for c in sums])
 
 
-def numbered(df: DataFrame, by: Sequence[str], key: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], key: str, name: str, ties: Sequence[str] = (), piece: Column | None = None) -> DataFrame:
     """Adds the row's number within its group, from 0, in order of key and ties (which must tell rows apart)."""
-    return cumulate(df.withColumn("_one", F.lit(1).cast("long")), by, key, ["_one"], ties=ties).withColumnRenamed("below__one", name).drop("_one")
+    return cumulate(df.withColumn("_one", F.lit(1).cast("long")), by, key, ["_one"], ties=ties, piece=piece).withColumnRenamed("below__one", name).drop("_one")
 
 
 def counted(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -81,4 +83,4 @@ def mixed(seed: int, *key: Column) -> Column:
 def dealt(df: DataFrame, by: Sequence[str], key: Column, seed: int, name: str) -> DataFrame:
     """Adds the row's number, from 0, in the order that mixed(seed, key) gives its group; equal keys by the whole row's hash."""
     rows = df.withColumns({"_h": mixed(seed, key), "_g": F.xxhash64(*df.columns)})
-    return numbered(rows, by, "_h", name, ties=["_g"]).drop("_h", "_g")
+    return numbered(rows, by, "_h", name, ties=["_g"], piece=F.shiftright("_h", 52)).drop("_h", "_g")  # mixed numbers are even: 256 pieces
