@@ -64,10 +64,10 @@ def forbidden(columns: Iterable[str], patterns: Sequence[str] = FORBIDDEN, prefi
 def forbidden_names(names: DataFrame, column: str, patterns: Sequence[str] = FORBIDDEN) -> DataFrame:
     """Rows of a table of names whose name or a derived form of it is forbidden, with the pattern."""
     def hit(p: str) -> Column:
-        return F.when(F.exists(name_forms(F.col(column)), lambda f: f.rlike(f"(?i)^(?:{p})$")), p)
+        return F.when(F.exists("_forms", lambda f: f.rlike(f"(?i)^(?:{p})$")), p)
 
-    tests = [hit(p) for p in patterns]
-    return names.withColumn("pattern", F.coalesce(*tests)).where("pattern is not null")
+    known = names.withColumn("_forms", name_forms(F.col(column)))
+    return known.withColumn("pattern", F.coalesce(*[hit(p) for p in patterns])).where("pattern is not null").drop("_forms")
 
 
 def reason(column: str, hit: tuple[str, str]) -> str:
@@ -193,9 +193,13 @@ def greedy_folds(df: DataFrame, cluster: str, label: str, folds: int, *, seed: i
     return df.sparkSession.createDataFrame(placed, f"`{cluster}` {kind}, fold int")
 
 
+def shared_clusters(train: DataFrame, test: DataFrame, cluster: str) -> DataFrame:
+    """Clusters that stand in both parts."""
+    return train.select(cluster).distinct().join(test.select(cluster).distinct(), cluster, "left_semi")
+
+
 def assert_disjoint(train: DataFrame, test: DataFrame, cluster: str) -> None:
-    shared = train.select(cluster).distinct().join(test.select(cluster).distinct(), cluster, "left_semi").limit(5).collect()
-    if shared:
+    if shared := shared_clusters(train, test, cluster).limit(5).collect():
         raise ValueError(f"clusters in both parts: {[r[0] for r in shared]}")
 
 

@@ -81,8 +81,9 @@ def weighted_moments(spark, d):
 
 @add("pv_category_counts", " union all ".join(f"select {i} as pv, {CASE.format(x=PV_SQL.format(i=i))} as category, count(*) as n from lineitem group by 2" for i in PVS))
 def pv_category_counts(spark, d):
-    rows = read(spark, d, "lineitem").select(F.posexplode(F.array(*[V.categorize(pv(i), CUTS, LABELS) for i in PVS])).alias("pv", "category"))
-    return rounded(rows.groupBy((F.col("pv") + 1).alias("pv"), "category").agg(F.count("*").alias("n")))
+    rows = V.pv_categories(read(spark, d, "lineitem").select(*[pv(i).alias(f"PV{i}MATH") for i in PVS]), "PV{i}MATH", 10, CUTS, LABELS)
+    long = rows.select(F.posexplode(F.array(*[f"cat_pv{i}" for i in PVS])).alias("pv", "category"))
+    return rounded(long.groupBy((F.col("pv") + 1).alias("pv"), "category").agg(F.count("*").alias("n")))
 
 
 @add("task_labels", "select label, count(*) as n from (select case k when 'Low' then 0 when 'High' then 1 end as label from (select " + CASE.format(x="l_extendedprice") + " as k from lineitem)) group by 1")
@@ -285,8 +286,7 @@ def country_filter(spark, d):
 @add("group_disjoint", "select count(*) as shared from (select distinct l_suppkey from lineitem where l_returnflag = 'R' intersect select distinct l_suppkey from lineitem where l_returnflag = 'A')")
 def group_disjoint(spark, d):
     rows = read(spark, d, "lineitem")
-    a, b = (rows.where(F.col("l_returnflag") == x).select("l_suppkey").distinct() for x in ("R", "A"))
-    return rounded(a.join(b, "l_suppkey", "left_semi").agg(F.count("*").alias("shared")))
+    return rounded(G.shared_clusters(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), "l_suppkey").agg(F.count("*").alias("shared")))
 
 
 @add("manifest_compare", "select count(*) filter (a.s = b.s) as common, count(*) filter (a.s <> b.s) as differing, count(*) filter (b.k is null) as only_a, count(*) filter (a.k is null) as only_b from (select p_partkey as k, p_size as s from part where p_partkey%3 <> 0) a full join (select p_partkey as k, p_size + (p_partkey%5=0)::int as s from part where p_partkey%4 <> 0) b on a.k = b.k")
