@@ -152,10 +152,12 @@ def _buckets(sig: str = "sig"):
 
 
 def regions(sigs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, root, n, main, size, total) of rows of each tree that share its first LEAST_DEPTH values with a node of another
-    component; main is the bucket's most frequent component, size its number of rows, total that of their shingles."""
+    """(bucket, node, root, n, main, size, total, outside) of rows of each tree that share its first LEAST_DEPTH values with
+    a node of another component; main is the bucket's most frequent component, size its number of rows, total that of
+    their shingles, outside that of shingles in other components."""
     rooted = sigs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.explode(_buckets()).alias("bucket"))
-    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum("n").alias("total")).where("kinds > 1").drop("kinds")
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("bucket").agg(F.max(F.struct("c", "root", "n")).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum("n").alias("total")).where("kinds > 1")
+    held = held.select("bucket", F.col("top.root").alias("main"), "size", "total", (F.col("total") - F.col("top.n")).alias("outside"))
     return materialize(rooted.join(held, "bucket"), "mixed")
 
 
@@ -201,8 +203,6 @@ def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
     blocks of about BLOCK by BLOCK shingles, where full sets are compared at once; pairs themselves are never rows."""
     large = mixed.where(F.col("size") > SMALL)
     sets = texts_of(large.select("node")).mapInArrow(_sets, "node long, shingles binary")
-    outside = large.where("root <> main").groupBy("bucket").agg(F.sum("n").alias("outside"))
-    rows = large.join(outside, "bucket")
 
     def cut(n: str):
         return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
@@ -210,8 +210,8 @@ def large_regions(mixed: DataFrame, texts_of) -> DataFrame:
     def dealt(salt: int, n: str):
         return F.pmod(F.xxhash64(F.lit(salt), "node"), cut(n)).cast("int")
 
-    x = rows.where("root <> main").select("bucket", "node", "root", F.lit(0).alias("side"), dealt(1, "outside").alias("i"), F.explode(F.sequence(F.lit(0), cut("total") - 1)).alias("j"))
-    y = rows.select("bucket", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), cut("outside") - 1)).alias("i"), dealt(2, "total").alias("j"))
+    x = large.where("root <> main").select("bucket", "node", "root", F.lit(0).alias("side"), dealt(1, "outside").alias("i"), F.explode(F.sequence(F.lit(0), cut("total") - 1)).alias("j"))
+    y = large.select("bucket", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), cut("outside") - 1)).alias("i"), dealt(2, "total").alias("j"))
     met = x.unionByName(y).join(sets, "node")
     return met.groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
 
