@@ -112,6 +112,37 @@ def test_topk_blocks_are_runs_of_the_order(spark, tmp_path):
     assert topk.search(rows.where("vec_id is null"), F.col("vec_id") == 3).count() == 0
 
 
+def test_topk_reads_a_tier_once_for_many_queries(spark, monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    log, real = str(tmp_path / "reads"), topk._store
+
+    def counting(uri):
+        class Counting(fs.LocalFileSystem):
+            def open_input_stream(self, *a, **k):
+                with open(log, "a") as f:
+                    f.write(".")
+                return super().open_input_stream(*a, **k)
+
+        return Counting(), real(uri)[1]
+
+    monkeypatch.setattr(topk, "_store", counting)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-9, 10, (3000, 8))  # unrelated directions, ties, and more blocks than are kept
+    v[::70] = v[0]
+    wide = [(3000, [9000.0] * 8), (3001, [-9000.0] * 8), (3002, [5000.0] + [0.0] * 7), (3005, [9000.0] * 7 + [8999.0])]  # over 32-bit products
+    rows = [(i, x) for i, x in enumerate(v.astype(float).tolist())] + wide + [(40, v[7].astype(float).tolist())]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, k=6, block_rows=8, tier_blocks=4, query_rows=64, cached=8).collect()
+    want, every, ids = [], np.array([x for _, x in rows]), np.array([i for i, _ in rows])
+    for i, x in rows:
+        if i % 20 == 0:
+            s = every @ np.array(x)
+            best = [c for c in np.lexsort((ids, -s)) if ids[c] != i][:6]
+            want += [(i, r + 1, int(ids[c]), int(s[c])) for r, c in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert 0 < os.path.getsize(log) < 2000  # 157 queries and some 100 tiers: in a round a group reads a tier once at most
+
+
 def test_archives_roll_over_and_filter(spark, tmp_path):
     warc.register(spark)
     rows = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit("/")).alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("html")).repartition(2)

@@ -1,12 +1,16 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
 Candidates are sorted, and runs of block_rows of them are the document-range blocks, each with a maximum and a minimum for
-each term; runs of blocks make a tier above. For each query, tiers and blocks are taken in order of their bounds (the
-summed best products of the query's weights with the extremes) and blocks are scored through their forward index, until
-the next bound cannot change the k-th hit. A task reads the bounds of all tiers, and of the blocks of those tiers that a
-bound asks for. Blocks are files in the shared folder, so lost executors lose nothing. Vectors that are null or empty, of
-another length than most, or hold null or non-finite components take no part, nor do rows without vec_id. Extra columns
-are ignored; equal vec_ids are rows of their own, none of which is its own hit.
+each term; runs of blocks make a tier above, which is one file of its blocks' forward index and bounds. Each query takes
+tiers in its own order of their bounds (the summed best products of its weights with the extremes), one at first, then
+rounds of ROUNDS times as many. In a round each tier is read once for all queries of a group that take it, and of its
+blocks those are scored whose bound can still change a query's k-th hit, as one matrix product; a query ends when its next
+bound cannot. A task reads the bounds of all tiers, and of the blocks of those tiers that a bound asks for. Scores are
+32-bit products where norms show that these are exact, else 64-bit ones. Where bounds exclude nothing, as between vectors of
+unrelated directions, all pairs are scored: such work grows with the square of the rows. Files are in the shared folder, so
+lost executors lose nothing. Vectors that are null or empty, of another length than most, or hold null or non-finite
+components take no part, nor do rows without vec_id. Extra columns are ignored; equal vec_ids are rows of their own, none of
+which is its own hit.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 HITS = "query_id long, rank int, vec_id long, score long"
+#: Growth of a query's rounds; chunks of query_rows queries that share reads as a group; tiers in a partition.
+ROUNDS, CHUNKS, TIERS = 8, 16, 4
 
 
 def _store(uri: str):
@@ -35,118 +41,167 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, block_rows: int
     path = shared_dir(spark, "blocks")
     sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = vectors.where(F.coalesce(sound, F.lit(False)))
-    lengths = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    lengths = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.count_if(is_query).alias("asks")).orderBy(F.desc("c"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], HITS)
-    vectors, n = vectors.where(F.size("v") == lengths[0]["n"]), lengths[0]["c"]
+    vectors, n, asks = vectors.where(F.size("v") == lengths[0]["n"]), lengths[0]["c"], lengths[0]["asks"]
+    cores = spark.sparkContext.defaultParallelism
+
+    def parts(rows: int, most: int, least: int) -> int:
+        """Partitions of most rows each; where these are few for the cores, of fewer rows, but not under least."""
+        return max(1, -(-rows // most), min(3 * cores, -(-rows // least)))
+
     signs = F.array_join(F.transform(F.slice("v", 1, 12), lambda x: F.when(x > 0, "1").otherwise("0")), "")
     rows = vectors.select("vec_id", "v", is_query.alias("asks"), signs.alias("near"))
-    ordered = rows.repartitionByRange(max(1, -(-n // (block_rows * tier_blocks))), "near", "vec_id").sortWithinPartitions("near", "vec_id")
+    tier_rows, group = block_rows * tier_blocks, query_rows * CHUNKS
+    ordered = rows.repartitionByRange(parts(n, tier_rows * TIERS, tier_rows), "near", "vec_id").sortWithinPartitions("near", "vec_id")
+
+    def runs(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+        left: list[pd.DataFrame] = []
+        for f in frames:
+            left.append(f)
+            if sum(map(len, left)) >= size:
+                whole = pd.concat(left)
+                for i in range(0, len(whole) - size + 1, size):
+                    yield whole.iloc[i : i + size]
+                left = [whole.iloc[len(whole) - len(whole) % size :]]
+        if sum(map(len, left)):
+            yield pd.concat(left)
+
+    def reach(m: np.ndarray) -> float:
+        """The largest norm, where components are whole. Products of vectors stay exact as long as those of norms do."""
+        return float(np.sqrt((m * m).sum(1)).max()) if (m == np.rint(m)).all() else np.inf
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A partition is a run of the order: its blocks, and one tier of their bounds for each tier_blocks of them."""
-        import io
         import os
 
         store, base = _store(path)
         store.create_dir(f"{base}/index", recursive=True)
-
-        def write(**arrays) -> str:
-            name = f"{os.urandom(12).hex()}.npz"
-            np.savez(held := io.BytesIO(), **arrays)
-            with store.open_output_stream(f"{base}/index/{name}") as out:
-                out.write(held.getvalue())
-            return name
-
-        def blocks() -> Iterator[tuple]:
-            left: list[pd.DataFrame] = []
-            for f in frames:
-                left.append(f)
-                while sum(map(len, left)) >= block_rows:
-                    whole = pd.concat(left)
-                    yield whole.iloc[:block_rows]
-                    left = [whole.iloc[block_rows:]]
-            if sum(map(len, left)):
-                yield pd.concat(left)
-
-        tier: list[tuple] = []
-
-        def tiers() -> pd.DataFrame:
-            names, hi, lo, least = zip(*tier)
-            hi, lo = np.array(hi), np.array(lo)
-            name = write(names=np.array(names), hi=hi, lo=lo, least=np.array(least))
-            return pd.DataFrame({"tier": [name], "hi": [hi.max(0).tolist()], "lo": [lo.min(0).tolist()], "least": [int(min(least))]})
-
-        for f in blocks():
+        for f in runs(frames, tier_rows):
             m, ids = np.array(f["v"].tolist(), dtype=np.float64), f["vec_id"].to_numpy(dtype=np.int64)
-            tier.append((write(m=m, ids=ids), m.max(0), m.min(0), int(ids.min())))
-            if len(tier) == tier_blocks:
-                yield tiers()
-                tier.clear()
-        if tier:
-            yield tiers()
+            with np.errstate(all="ignore"):
+                size = reach(m)
+                kind = next(t for t in (np.int8, np.int16, np.float32, np.float64) if (m.astype(t) == m).all())
+            starts = np.arange(0, len(m), block_rows)
+            hi, lo, least = np.maximum.reduceat(m, starts), np.minimum.reduceat(m, starts), np.minimum.reduceat(ids, starts)
+            name = os.urandom(12).hex()
+            with store.open_output_stream(f"{base}/index/{name}") as out:
+                for x in (ids, least, hi, lo, m.astype(kind)):
+                    out.write(x.tobytes())
+            yield pd.DataFrame({"tier": [name], "n": [len(m)], "kind": [np.dtype(kind).str], "reach": [size], "hi": [hi.max(0).tolist()], "lo": [lo.min(0).tolist()], "least": [int(ids.min())]})
 
-    ordered.select("vec_id", "v").mapInPandas(put, "tier string, hi array<double>, lo array<double>, least long").write.parquet(f"{path}/bounds")
-    queries = rows.where("asks").repartitionByRange(max(1, -(-n // (20 * query_rows))), "near", "vec_id").select("vec_id", "v")
+    tiers = "tier string, n int, kind string, reach double, hi array<double>, lo array<double>, least long"
+    ordered.select("vec_id", "v").mapInPandas(put, tiers).write.parquet(f"{path}/bounds")
+    queries = rows.where("asks").repartitionByRange(parts(asks, group, max(1, query_rows // 2)), "near", "vec_id").select("vec_id", "v")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-        import io
-        from collections import defaultdict
         from functools import lru_cache
 
         import pyarrow.parquet as pq
 
         store, base = _store(path)
-        top = pq.read_table(f"{base}/bounds", filesystem=store).to_pydict()
-        top_hi, top_lo = np.array(top["hi"]), np.array(top["lo"])
-
-        @lru_cache(cached)
-        def load(name: str) -> dict:
-            with store.open_input_stream(f"{base}/index/{name}") as src:
-                return dict(np.load(io.BytesIO(src.read())))
+        top = pq.read_table(f"{base}/bounds", filesystem=store).sort_by("least").to_pydict()  # equal bounds: least ids first
+        top_hi, top_lo, top_least = np.array(top["hi"]), np.array(top["lo"]), np.array(top["least"], dtype=np.int64)
+        space = {t: np.empty(query_rows * block_rows, t) for t in (np.float32, np.float64)}
+
+        @lru_cache(max(1, cached * block_rows * len(top["n"]) // sum(top["n"])))
+        def load(tier: int) -> tuple[np.ndarray, ...]:
+            """Ids, each block's least id, maxima and minima, and the forward index."""
+            n, width = top["n"][tier], top_hi.shape[1]
+            blocks = -(-n // block_rows)
+            with store.open_input_stream(f"{base}/index/{top['tier'][tier]}") as src:
+                held = src.read()
+            whole = np.frombuffer(held, np.int64, n + blocks)
+            hi, lo = np.frombuffer(held, np.float64, 2 * blocks * width, whole.nbytes).reshape(2, blocks, width)
+            m = np.frombuffer(held, top["kind"][tier], n * width, whole.nbytes + 2 * hi.nbytes).reshape(n, width)
+            return whole[:n], whole[n:], hi, lo, m.astype(np.float32) if m.dtype.kind == "i" else m
 
         def bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
             return np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
 
-        for f in frames:
-            for start in range(0, len(f), query_rows):
-                part = f.iloc[start : start + query_rows]
-                q, own = np.array(part["v"].tolist(), dtype=np.float64), part["vec_id"].to_numpy(dtype=np.int64)
-                best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-                # for each query, what may still hold a hit, highest bound first: (-bound, least id, is a block, name)
-                heaps = [[(-b, least, False, t) for b, least, t in zip(row, top["least"], top["tier"])] for row in bounds(q, top_hi, top_lo).tolist()]
-                for h in heaps:
-                    heapq.heapify(h)
-                while True:
-                    asked = defaultdict(list)  # each query's next one: its own order, loaded once for all that ask
-                    for i, h in enumerate(heaps):
-                        while h and (-h[0][0] < best[i, -1] or -h[0][0] == best[i, -1] and h[0][1] >= ids[i, -1]):
-                            if -h[0][0] < best[i, -1]:
-                                h.clear()
-                            else:
-                                heapq.heappop(h)
-                        if h:
-                            asked[heapq.heappop(h)[2:]].append(i)
-                    if not asked:
-                        break
-                    for (block, name), live in asked.items():
-                        got = load(name)
-                        if not block:
-                            for i, row in zip(live, bounds(q[live], got["hi"], got["lo"]).tolist()):
-                                for b, least, inner in zip(row, got["least"].tolist(), got["names"].tolist()):
-                                    heapq.heappush(heaps[i], (-b, least, True, inner))
+        def hits(q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Scores and ids of each query's k best; -inf where there are fewer."""
+            best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+            floor = np.full(len(q), -np.inf)  # at most the k-th score
+            found: list[tuple] = []
+            held = 0  # hits in found
+            with np.errstate(all="ignore"):
+                widest, narrow = reach(q), q.astype(np.float32)
+
+            def may(score: np.ndarray, least: np.ndarray, r: np.ndarray) -> np.ndarray:
+                """Whether such scores, of such ids or later ones, can still change the hits of the queries r."""
+                return (score > floor[r]) | (score == floor[r]) & ((least < ids[r, -1]) | (best[r, -1] < floor[r]))
+
+            def merge() -> None:
+                nonlocal held
+                r, s, d = (np.concatenate(x) for x in zip(*found))
+                found.clear()
+                held = 0
+                u = np.unique(r)
+                r, s, d = np.concatenate([np.repeat(u, k), r]), np.concatenate([best[u].ravel(), s]), np.concatenate([ids[u].ravel(), d])
+                o = np.lexsort((d, -s, r))
+                first = np.searchsorted(r[o], u)
+                o = o[first[:, None] + np.arange(k)]
+                best[u], ids[u] = s[o], d[o]
+                floor[u] = np.maximum(floor[u], best[u, -1])
+
+            def score(tier: int, live: np.ndarray) -> None:
+                nonlocal held
+                tier_ids, least, hi, lo, m = load(tier)
+                kind, ours = (np.float32, narrow) if widest * top["reach"][tier] < 2.0**24 else (np.float64, q)
+                m = m.astype(kind, copy=False)
+                for start in range(0, len(live), query_rows):
+                    chunk = live[start : start + query_rows]
+                    b = bounds(q[chunk], hi, lo)
+                    for j in range(b.shape[1]):
+                        r = chunk[may(b[:, j], least[j], chunk)]
+                        if not len(r):
+                            continue
+                        part, d = m[j * block_rows : (j + 1) * block_rows], tier_ids[j * block_rows : (j + 1) * block_rows]
+                        s = np.matmul(ours[r], part.T, out=space[kind][: len(r) * len(part)].reshape(len(r), len(part)))
+                        fresh = np.flatnonzero(np.isinf(floor[r]))
+                        if len(fresh) and len(part) >= k:  # the k-th score of the first block is a floor
+                            f = np.where(own[r[fresh]][:, None] == d[None, :], -np.inf, s[fresh])
+                            floor[r[fresh]] = np.partition(f, len(part) - k, axis=1)[:, len(part) - k]
+                        some = np.flatnonzero(s.max(1) >= floor[r])
+                        if not len(some):
                             continue
-                        s = q[live] @ got["m"].T
-                        s[own[live][:, None] == got["ids"][None, :]] = -np.inf
-                        for r, i in enumerate(live):
-                            c = np.flatnonzero(s[r] >= max(best[i, -1], -1e300))
-                            if len(c):
-                                v, d = np.concatenate([best[i], s[r][c]]), np.concatenate([ids[i], got["ids"][c]])
-                                keep = np.lexsort((d, -v))[:k]
-                                best[i], ids[i] = v[keep], d[keep]
-                r, c = np.nonzero(np.isfinite(best))
-                yield pd.DataFrame({"query_id": own[r], "rank": (c + 1).astype(np.int32), "vec_id": ids[r, c], "score": best[r, c].astype(np.int64)})
+                        x, y = np.divmod(np.flatnonzero(s[some] >= floor[r[some]].astype(kind)[:, None]), len(part))
+                        hit, at, value = r[some[x]], d[y], s[some[x], y].astype(np.float64)
+                        new = (own[hit] != at) & may(value, at, hit)
+                        if new.any():
+                            found.append((hit[new], value[new], at[new]))
+                            held += len(found[-1][0])
+                        if held > 8 * len(q):
+                            merge()
+
+            b = bounds(q, top_hi, top_lo)
+            order = np.argsort(-b, axis=1, kind="stable").astype(np.int32)
+            every, taken, step = np.arange(len(q))[:, None], 0, 1
+            while taken < len(top_hi):
+                asked = np.zeros((len(top_hi), len(q)), dtype=bool)
+                for start in range(taken, min(taken + step, len(top_hi)), 64):
+                    tiers = order[:, start : min(start + 64, taken + step)]
+                    asked[tiers, every] = may(b[every, tiers], top_least[tiers], every)
+                some = np.flatnonzero(asked.any(1))
+                if not len(some):
+                    break  # later bounds are no higher
+                for t in some.tolist():
+                    live = np.flatnonzero(asked[t])
+                    live = live[may(b[live, t], top_least[t], live)]
+                    if len(live):
+                        score(t, live)
+                if found:
+                    merge()
+                taken, step = taken + step, step * ROUNDS
+            return best, ids
+
+        for f in runs(frames, max(query_rows, min(group, 8_000_000 // len(top_hi)))):  # a group holds a bound for each query and tier
+            own = f["vec_id"].to_numpy(dtype=np.int64)
+            best, ids = hits(np.array(f["v"].tolist(), dtype=np.float64), own)
+            r, c = np.nonzero(np.isfinite(best))
+            yield pd.DataFrame({"query_id": own[r], "rank": (c + 1).astype(np.int32), "vec_id": ids[r, c], "score": best[r, c].astype(np.int64)})
 
     return queries.mapInPandas(run, HITS)
 
