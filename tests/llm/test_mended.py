@@ -112,7 +112,8 @@ def test_topk_blocks_are_runs_of_the_order(spark, tmp_path):
     assert topk.search(rows.where("vec_id is null"), F.col("vec_id") == 3).count() == 0
 
 
-def test_topk_reads_a_tier_once_for_many_queries(spark, monkeypatch, tmp_path):
+@pytest.mark.parametrize("bytes_from", [0, 10**18])
+def test_topk_reads_a_tier_once_for_many_queries(spark, monkeypatch, tmp_path, bytes_from):
     from pyarrow import fs
 
     log, real = str(tmp_path / "reads"), topk._store
@@ -127,11 +128,12 @@ def test_topk_reads_a_tier_once_for_many_queries(spark, monkeypatch, tmp_path):
         return Counting(), real(uri)[1]
 
     monkeypatch.setattr(topk, "_store", counting)
+    monkeypatch.setattr(topk, "EIGHT", bytes_from, raising=False)
     rng = np.random.default_rng(5)
     v = rng.integers(-9, 10, (3000, 8))  # unrelated directions, ties, and more blocks than are kept
     v[::70] = v[0]
     wide = [(3000, [9000.0] * 8), (3001, [-9000.0] * 8), (3002, [5000.0] + [0.0] * 7), (3005, [9000.0] * 7 + [8999.0])]  # over 32-bit products
-    rows = [(i, x) for i, x in enumerate(v.astype(float).tolist())] + wide + [(40, v[7].astype(float).tolist())]
+    rows = [(i, x) for i, x in enumerate(v.astype(float).tolist())] + (wide if bytes_from else []) + [(40, v[7].astype(float).tolist())]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, k=6, block_rows=8, tier_blocks=4, query_rows=64, cached=8).collect()
     want, every, ids = [], np.array([x for _, x in rows]), np.array([i for i, _ in rows])
     for i, x in rows:
@@ -143,6 +145,13 @@ def test_topk_reads_a_tier_once_for_many_queries(spark, monkeypatch, tmp_path):
     assert 0 < os.path.getsize(log) < 2000  # 157 queries and some 100 tiers: in a round a group reads a tier once at most
 
 
+def test_topk_products_of_bytes_dont_saturate():
+    eight = topk._eight()
+    q, m = np.array([[63] * 70, [-64] * 70, list(range(-35, 35))]), np.array([[127] * 70, [-127] * 70, list(range(70))])
+    if eight is not None:
+        assert (eight((q + 64).astype(np.uint8), m.T.astype(np.int8)) == q @ m.T).all()
+
+
 def test_archives_roll_over_and_filter(spark, tmp_path):
     warc.register(spark)
     rows = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit("/")).alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("html")).repartition(2)
