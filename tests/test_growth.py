@@ -48,3 +48,15 @@ def test_bootstrap_against_all_pairs(spark, monkeypatch, cells):
     known = y < 2
     want = {r: pairs(y[known], s[known], np.array([times.get((r, int(c)), 0) for c in g[known]], dtype=float)) for r in range(7)}
     assert got.keys() == want.keys() and all(abs(got[r] - want[r]) < 1e-12 for r in want)
+
+
+# ---- names
+def test_forbidden_names_makes_forms_once_a_name(spark):
+    from veyra.operators import guard as G
+
+    rows = spark.range(3000).select(F.col("id"), F.element_at(F.array(F.lit("log_PV1MATH"), F.lit("ST004"), F.lit(None), F.lit(" math_score"), F.lit("")), (F.col("id") % 5 + 1).cast("int")).alias("name"))
+    got = G.forbidden_names(rows, "name")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MISSINGINDICATOR_") <= 2 and plan.count("Aggregate") >= 2  # 43 copies of all forms, beneath the first reading, before
+    assert {(r["name"], r["pattern"]) for r in got.collect()} == {("log_PV1MATH", "PV\\d+MATH"), (" math_score", "math_score")} and got.count() == 1200
+    assert got.columns == ["id", "name", "pattern"]
