@@ -60,3 +60,28 @@ def test_forbidden_names_makes_forms_once_a_name(spark):
     assert plan.count("MISSINGINDICATOR_") <= 2 and plan.count("Aggregate") >= 2  # 43 copies of all forms, beneath the first reading, before
     assert {(r["name"], r["pattern"]) for r in got.collect()} == {("log_PV1MATH", "PV\\d+MATH"), (" math_score", "math_score")} and got.count() == 1200
     assert got.columns == ["id", "name", "pattern"]
+
+
+# ---- bins and orders
+def test_bins_shuffle_no_rows(spark):
+    from veyra.operators import selection as S
+
+    rows = spark.range(30000).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 40).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    for query in (lambda t: S.decile_bins(t).groupBy("feature", "bin").count(), lambda t: S.symmetric_uncertainty(S.decile_bins(t), "y"), lambda t: S.entropy(S.decile_bins(t), ["feature"], "bin"), lambda t: S.conditional_entropy(S.decile_bins(t), ["feature"], "bin", "y")):
+        done = stages(spark, query(S.unpivot(rows, ["y"], ["a", "b"])).collect)
+        assert sum(s.shuffleWriteRecords() for s in done) < 10_000  # 60,000 rows and more, all of a feature in one task, before
+
+
+def test_a_large_group_is_cut_whatever_stands_beside_it(spark, monkeypatch):
+    from veyra.operators import ordered
+
+    monkeypatch.setattr(ordered, "LARGE", 1000)
+    rows = spark.range(20000).select(F.when(F.col("id") < 16000, "a").when(F.col("id") < 19990, F.col("id").cast("string")).alias("g"), ((F.col("id") * 7919) % 20011).cast("double").alias("x"))
+    got = ordered.counted(rows, ["g"], "x")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan  # by group: the window over its pieces kept that order, so that a group was one task
+    want, last = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["x"]):
+        want[r["g"], r["x"]] = last.get(r["g"], 0)
+        last[r["g"]] = last.get(r["g"], 0) + 1
+    assert {(r["g"], r["x"]): r["below_n"] for r in got.collect()} == want
