@@ -85,3 +85,27 @@ def test_a_large_group_is_cut_whatever_stands_beside_it(spark, monkeypatch):
         want[r["g"], r["x"]] = last.get(r["g"], 0)
         last[r["g"]] = last.get(r["g"], 0) + 1
     assert {(r["g"], r["x"]): r["below_n"] for r in got.collect()} == want
+
+
+# ---- corrections
+@pytest.mark.parametrize("family", [[], ["g"]])
+def test_corrections_of_large_families(spark, monkeypatch, family):
+    """Against the definition, with ties, a family of one test, and families that are cut into pieces."""
+    from veyra.operators import ordered
+    from veyra.operators import selection as S
+
+    monkeypatch.setattr(ordered, "LARGE", 100)
+    rows = spark.range(3000).select("id", F.when(F.col("id") == 0, "c").when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.when(F.col("id") % 50 != 7, ((F.col("id") * 7919) % 809) / 1000.0).alias("p"))
+    got = S.adjust(rows, family, "p", "id")
+    assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()  # that frame starts anew at every row
+    groups = {}
+    for r in rows.where("p is not null").collect():
+        groups.setdefault(r["g"] if family else 0, []).append((r["p"], r["id"]))
+    want = {}
+    for tests in groups.values():
+        tests.sort()
+        m, high, low = len(tests), 0.0, 2.0
+        holm = [high := max(high, (m - i) * p) for i, (p, _) in enumerate(tests)]
+        bh = [low := min(low, m / (i + 1) * tests[i][0]) for i in reversed(range(m))][::-1]
+        want |= {k: (min(1.0, h), min(1.0, b)) for (_, k), h, b in zip(tests, holm, bh)}
+    assert {r["id"]: (r["holm"], r["bh"]) for r in got.collect()} == {i: want.get(i, (None, None)) for i in range(3000)}
