@@ -109,3 +109,34 @@ def test_corrections_of_large_families(spark, monkeypatch, family):
         bh = [low := min(low, m / (i + 1) * tests[i][0]) for i in reversed(range(m))][::-1]
         want |= {k: (min(1.0, h), min(1.0, b)) for (_, k), h, b in zip(tests, holm, bh)}
     assert {r["id"]: (r["holm"], r["bh"]) for r in got.collect()} == {i: want.get(i, (None, None)) for i in range(3000)}
+
+
+# ---- replicate weights
+def test_replicate_weights_are_not_shuffled(spark):
+    from veyra.operators import survey as V
+
+    rows = spark.range(20000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 7919) % 20011).cast("double").alias("s"))
+    weights = [1.0 + F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(7)) for i in range(41)]
+    done = stages(spark, V.brr_auc(rows, [], "y", "s", weights[0], weights[1:]).collect)
+    assert sum(s.shuffleWriteBytes() for s in done) < 2_000_000  # 41 weights are 6,560,000 bytes
+
+
+def test_replicated_auc_of_groups_against_all_pairs(spark):
+    """Ties, a group that is NULL, scores that aren't finite, weights that are NULL, a group of one class."""
+    from veyra.operators import survey as V
+
+    rng = np.random.default_rng(5)
+    told = [(["a", "b", None][i % 3], int(rng.integers(0, 2)), [float(rng.integers(0, 9)), float("nan")][i % 17 == 0], float(rng.integers(1, 5)), float(rng.integers(0, 3)) if i % 5 else None) for i in range(600)]
+    rows = spark.createDataFrame([*told, ("one", 1, 2.0, 1.0, 1.0)], "g string, y int, s double, w double, v double").repartition(7)
+    got = {r["g"]: r for r in V.brr_auc(rows.where("g is null or g <> 'one'"), ["g"], "y", "s", F.col("w"), [F.col("v"), F.col("w"), F.col("w") * 2]).collect()}
+    assert got.keys() == {"a", "b", None}
+    for g, r in got.items():
+        part = [t for t in told if t[0] == g and t[2] == t[2]]
+        y, s, w, v = (np.array([t[i] or 0 for t in part], dtype=float) for i in (1, 2, 3, 4))
+        e, t = pairs(y, s, w), pairs(y, s, v)
+        assert abs(r["estimate"] - e) < 1e-12 and abs(r["brr_variance"] - (t - e) ** 2 / (3 * 0.25)) < 1e-12 and r["n_replicates_used"] == 3
+    from veyra.operators.replicates import replicated_auc
+
+    y = F.col("y") == 1
+    alone = replicated_auc(rows, ["g"], "s", y, ~y, [F.col("w")], np.stack, 1).where("g = 'one'").first()
+    assert alone["t"] == [None]
