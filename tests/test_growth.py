@@ -140,3 +140,17 @@ def test_replicated_auc_of_groups_against_all_pairs(spark):
     y = F.col("y") == 1
     alone = replicated_auc(rows, ["g"], "s", y, ~y, [F.col("w")], np.stack, 1).where("g = 'one'").first()
     assert alone["t"] == [None]
+
+
+# ---- permutations
+def test_permutations_share_an_order_and_are_made_once(spark):
+    from veyra.operators import survey as V
+
+    n = 4000
+    rows = spark.range(n).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 11).cast("double").alias("s"))
+    got = []
+    done = stages(spark, lambda: got.append(R.permutation_null(lambda t, seed: V.auc(t, [], "y", "s").first()[0], rows, "y", "id", 0.5, n=3)))
+    assert sum(s.shuffleWriteRecords() for s in done) < 11 * n  # one order, and three shuffles of rows for each of three
+    from veyra.operators import guard as G
+
+    assert got[0]["distribution"] == [V.auc(G.permute_within(rows, [], "y", "id", i), [], "y", "s").first()[0] for i in range(3)]

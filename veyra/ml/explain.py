@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veyra.operators.guard import permute_within, spearman
+from veyra.operators.guard import permute_within, places, spearman
+from veyra.operators.kept import kept
 from veyra.operators.ordered import counted, dealt, mixed, quantiles
 from veyra.operators.resample import stratified_sample
 from veyra.operators.survey import auc
@@ -152,13 +153,16 @@ def noise_benchmark(importances: DataFrame, noise: str = "noise_control") -> Dat
 
 
 def permutation_importance(model: Model, rows: DataFrame, features: Sequence[str], label: str, key: str, *, repeats: int = 10, seed: int = 0) -> DataFrame:
-    """(feature, perm_importance, perm_sd): how far AUC falls when a feature's values are dealt anew."""
-    whole = auc(model(rows), [], label, "score").first()[0]
+    """(feature, perm_importance, perm_sd): how far AUC falls when a feature's values are dealt anew. The order
+    of rows that all repeats start from, and each repeat's scores while AUC is taken, are kept on disk."""
     drops = []
-    for i, f in enumerate(features):
-        for r in range(repeats):
-            dealt_rows = permute_within(rows.select(key, label, *features), [], f, key, seed + i * repeats + r)
-            drops.append((f, float(whole - auc(model(dealt_rows), [], label, "score").first()[0])))
+    with kept(places(rows.select(key, label, *features), [], key), "places") as placed:
+        whole = auc(model(placed.drop("_i")), [], label, "score").first()[0]
+        for i, f in enumerate(features):
+            for r in range(repeats):
+                permuted = permute_within(placed, [], f, key, seed + i * repeats + r, placed)
+                with kept(model(permuted).select(label, "score"), "scores") as scored:
+                    drops.append((f, float(whole - auc(scored, [], label, "score").first()[0])))
     long = rows.sparkSession.createDataFrame(drops, "feature string, drop double")
     return long.groupBy("feature").agg(F.avg("drop").alias("perm_importance"), F.stddev_pop("drop").alias("perm_sd"))
 
