@@ -154,3 +154,23 @@ def test_permutations_share_an_order_and_are_made_once(spark):
     from veyra.operators import guard as G
 
     assert got[0]["distribution"] == [V.auc(G.permute_within(rows, [], "y", "id", i), [], "y", "s").first()[0] for i in range(3)]
+
+
+# ---- neighbours and items
+def test_nearest_rows_of_many_queries(spark):
+    from veyra.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 40, (60000, 2)).astype(float), rng.integers(0, 3, 60000)
+    rows = spark.createDataFrame([(i, int(y[i]) if y[i] < 2 else None, float(x[i, 0]), float(x[i, 1])) for i in range(60000)], "k long, y int, a double, b double").repartition(2).cache()
+    rows.count()
+    got = []
+    done = stages(spark, lambda: got.extend(neighbours.nearest(rows, rows.where("k < 300"), ["a", "b"], "k", 4, label="y").collect()))
+    assert sum(s.executorRunTime() for s in done) < 15_000  # each query's rows were sorted anew for every 2,048 rows
+    found = {(r["query"], r["label"], r["rank"]): (r["key"], r["distance"]) for r in got}
+    assert len(found) == 300 * 2 * 4
+    for q in (0, 17, 299):
+        d = np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)
+        for label in (0, 1):
+            want = sorted((d[i], i) for i in np.flatnonzero(y == label) if i != q)[:4]
+            assert [found[q, label, r][::-1] for r in range(1, 5)] == want

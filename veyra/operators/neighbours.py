@@ -1,7 +1,7 @@
 """Nearest rows of a bounded set of queries, and feature weights that follow from them.
 
 Queries are broadcast (their number is a parameter); every task keeps the k nearest of its own rows for each query and
-class, so what is shuffled is k rows for each query, class and task. Ties go to the smaller key.
+class, and sorts a query's rows again only where a nearer one comes, so what is shuffled is k rows for each query, class and task. Ties go to the smaller key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .ordered import dealt
 
+#: How many differences a task holds at once, and the key of no row.
+BLOCK, NONE = 1 << 21, np.iinfo(np.int64).max
+
 
 def nearest(rows: DataFrame, queries: DataFrame, features: Sequence[str], key: str, k: int, *, metric: str = "l2", label: str | None = None, max_queries: int = 10_000) -> DataFrame:
     """(query, key, label, distance, rank): the k nearest other rows of each query, of each class where label is given."""
@@ -28,23 +31,33 @@ def nearest(rows: DataFrame, queries: DataFrame, features: Sequence[str], key: s
     sent = rows.sparkSession.sparkContext.broadcast((keys, at))
     of = [F.col(label).cast("long").alias("label")] if label else [F.lit(0).cast("long").alias("label")]
 
+    block = max(1, BLOCK // (2048 * max(1, len(features))))
+
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, at = sent.value
-        best: dict[int, pd.DataFrame] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each label: distances and keys, queries by k, in order
         for f in frames:
             for start in range(0, len(f), 2048):
                 part = f.iloc[start : start + 2048]
                 x = np.nan_to_num(part[list(features)].to_numpy(dtype=float))
                 own, of = part[key].to_numpy(dtype=np.int64), part["label"].to_numpy()
-                for i, q in enumerate(at):
-                    gap = np.abs(x - q)
-                    d = np.round(gap.sum(1) if metric == "l1" else np.sqrt((gap * gap).sum(1)), 9)
-                    found = pd.DataFrame({"query": keys[i], "key": own, "label": of, "distance": d})[own != keys[i]]
-                    if i in best:
-                        found = pd.concat([best[i], found])
-                    best[i] = found.sort_values(["label", "distance", "key"]).groupby("label", sort=False).head(k)
-        if best:
-            yield pd.concat(best.values())
+                for first in range(0, len(at), block):
+                    gap = np.abs(x[None, :, :] - at[first : first + block, None, :])
+                    d = np.round(gap.sum(2) if metric == "l1" else np.sqrt((gap * gap).sum(2)), 9)
+                    for label in pd.unique(of[pd.notna(of)]):
+                        if label not in best:
+                            best[label] = np.full((len(at), k), np.inf), np.full((len(at), k), NONE)
+                        dist, kept = (b[first : first + block] for b in best[label])
+                        mine = np.flatnonzero(of == label)
+                        e, o = d[:, mine], own[mine]
+                        better = ((e < dist[:, -1:]) | (e == dist[:, -1:]) & (o < kept[:, -1:])) & (o != keys[first : first + block, None])
+                        for i in np.flatnonzero(better.any(axis=1)):
+                            both, names = np.concatenate([dist[i], e[i, better[i]]]), np.concatenate([kept[i], o[better[i]]])
+                            order = np.lexsort((names, both))[:k]
+                            dist[i], kept[i] = both[order], names[order]
+        for label, (dist, kept) in best.items():
+            i, j = np.nonzero(kept != NONE)
+            yield pd.DataFrame({"query": keys[i], "key": kept[i, j], "label": np.full(len(i), int(label)), "distance": dist[i, j]})
 
     found = rows.select(F.col(key).cast("long").alias(key), *of, *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).mapInPandas(near, "query long, key long, label long, distance double")
     order = Window.partitionBy("query", "label").orderBy("distance", "key")
