@@ -174,3 +174,14 @@ def test_nearest_rows_of_many_queries(spark):
         for label in (0, 1):
             want = sorted((d[i], i) for i in np.flatnonzero(y == label) if i != q)[:4]
             assert [found[q, label, r][::-1] for r in range(1, 5)] == want
+
+
+def test_only_first_pages_are_read_line_by_line(spark):
+    from veyra.sources import codebook
+
+    text = "CY7_2018_QST ST999Q01TA\nHow often\nST004\n(Please select one response.)\nNever Often\nST004Q01TA Sex\n01 02\n7"
+    pages = spark.createDataFrame([(3, text.replace("Sex", "later")), (1, "none"), (2, text), (2, None), (4, text.replace("Q01TA", "Q02TA"))], "page int, text string")
+    got = codebook.extract_items(pages)
+    assert {(r["item"], r["page"], r["item_label"]) for r in got.collect()} == {("ST004Q01TA", 2, "Sex"), ("ST004Q02TA", 4, "Sex")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("aggregate(") < plan.index("Join ")  # nearer to the result: pages are chosen first
